@@ -50,7 +50,7 @@ _SQL = {
           QUALIFY row_number() OVER (PARTITION BY subj, pred, said_us ORDER BY id DESC, obj DESC) = 1),
         c AS (SELECT *, lag(obj) OVER (PARTITION BY subj, pred ORDER BY said_us) AS was FROM w),
         b AS (SELECT * FROM c WHERE was IS DISTINCT FROM obj)
-        SELECT subj, pred, obj, said_us AS valid_from_us, coalesce(lead(at) OVER (PARTITION BY subj, pred ORDER BY said_us), -1) AS valid_to_us FROM b""",
+        SELECT subj, pred, obj, said_us AS valid_from_us, coalesce(lead(said_us) OVER (PARTITION BY subj, pred ORDER BY said_us), -1) AS valid_to_us FROM b""",
 }
 
 
