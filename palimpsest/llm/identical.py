@@ -83,3 +83,17 @@ def pairs_within(classes: DataFrame) -> DataFrame:
     a = several.select("class_id", F.col("rec").alias("id_a"))
     b = several.select("class_id", F.col("rec").alias("id_b"))
     return a.join(b, "class_id").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+
+
+def formatting_key(payload: Column) -> Column:
+    """A digest that is equal for payloads of one formatting class, computed row by row; null payloads give null.
+
+    The same canonical form as :func:`formatting_classes`, for operators that
+    only need to know whether two given records are such copies.
+    """
+    objects = json_fields(payload)
+    text = F.when(payload.rlike(r'^\s*"'), F.coalesce(json_scalar(payload), payload)).otherwise(payload)
+    whole = F.array(F.struct(F.lit(WHOLE).alias("key"), text.alias("value")))
+    entries = F.when(objects.isNotNull(), F.map_entries(objects)).otherwise(whole)
+    canon = F.transform(entries, lambda e: F.concat_ws("\u0001", letters_digits(e["key"]), letters_digits(F.coalesce(e["value"], F.lit("")))))
+    return F.unhex(F.md5(F.concat_ws("\u0002", F.array_sort(F.array_distinct(canon)))))

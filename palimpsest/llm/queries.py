@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import identical, neighbours, ranking, tokens
+from palimpsest.functions.payload import decoded_text
+from palimpsest.llm import identical, neighbours, ranking, similar, tokens
 from palimpsest.sources.tables import table
 
 
@@ -53,12 +54,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return ranked.where(" and ".join(f"{s}_rank <= 5" for s in SCORES)).select("query_id", "atom_id")
 
 
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    atoms = table(spark, d, "atoms").where(F.col("payload").isNotNull())
+    p = F.col("payload")
+    return similar.similar_sets(atoms.select(F.col("id").alias("rec"), identical.formatting_key(p).alias("grp"), decoded_text(p).alias("text")), least=0.70)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.near_pairs(*_similar(spark, d))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return similar.classes(*_similar(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids)}
 
 
 _P1_CANON = r"""
@@ -71,6 +86,13 @@ c AS (SELECT id, regexp_replace(lower(upper(k)), '[^\p{L}\p{N}]+', '', 'g') || c
   regexp_replace(v, '[^\p{L}\p{N}]+', '', 'g') <> '' AS has FROM f),
 r AS (SELECT id, list_sort(list(DISTINCT p)) AS canon FROM c GROUP BY id HAVING bool_or(has))"""
 
+_P6_PAIRS = _P1_CANON + r""",
+d AS (SELECT id, CASE WHEN kind = 'OBJECT' THEN payload ->> '$.content' WHEN kind = 'VARCHAR' THEN payload ->> '$' ELSE payload END AS txt FROM t),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) AS word FROM d),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_shared FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id),
+g AS (SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE n_shared >= 0.70 * (x.n + y.n - n_shared))"""
+
 _COSINE = "CASE WHEN len(a.embedding) = len(q.query_emb) AND list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) > 0 THEN list_dot_product(a.embedding::DOUBLE[], q.query_emb::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.query_emb::DOUBLE[], q.query_emb::DOUBLE[])) END"
 
 
@@ -85,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.e, b.e) / (a.n * b.n) AS c FROM v a JOIN v b ON a.id <> b.id),
             k AS (SELECT x, y FROM s WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
             SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
+        "p6_found": _P6_PAIRS + " SELECT id_a, id_b FROM g LEFT JOIN r a ON a.id = id_a LEFT JOIN r b ON b.id = id_b WHERE a.canon IS DISTINCT FROM b.canon",
         "p5_found": f"""
             WITH p AS (SELECT DISTINCT query_id, atom_id FROM recall_candidates WHERE query_id IS NOT NULL AND atom_id IS NOT NULL),
             s AS (SELECT p.query_id, p.atom_id, coalesce(a.access_count, 0) AS access, a.created_at, {_COSINE} AS c
