@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.payload import decoded_text
-from palimpsest.llm import identical, neighbours, ranking, similar, tokens
+from palimpsest.llm import identical, language, neighbours, ranking, similar, tokens
 from palimpsest.sources.tables import table
 
 
@@ -72,8 +72,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.passages(docs, language.fit_on(docs)).withColumn("confidence", F.round("confidence", 4))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.unnamed(docs, language.passages(docs, language.fit_on(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p10_found, p10_passages)}
 
 
 _P1_CANON = r"""
