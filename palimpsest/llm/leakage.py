@@ -32,7 +32,7 @@ RUN_WORDS = 12
 #: Half width of the alignment band, longest piece part aligned at once, pieces that may lie between two of a chain.
 BAND, PART, REACH = 6, 64, 10
 #: An item is aligned if it has this share of the seeds of the best item in some part; rounds in which aligned parts look for their neighbours.
-LEAD, ROUNDS = 0.6, 3
+LEAD, ROUNDS = 0.75, 3
 #: Characters an aligned part spans at least to look for its neighbours.
 LEAST_SPAN = 12
 #: Item characters that may be missing between, or shared by, two chained pieces.
@@ -255,10 +255,11 @@ def _align(it: Items, f: Folded, begin: np.ndarray, size: np.ndarray, item: np.n
     return [w if g else None for w, g in zip(where, good.tolist())]
 
 
-def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]], f: Folded) -> int:
+def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]], f: Folded, least: float) -> int:
     """The most consecutive item words that one chain of parts (piece, first character, length, item position of each character) carries.
 
-    A chain goes on only from the end of a part to the beginning of another.
+    A chain goes on only from the end of a part to the beginning of another;
+    chains of fewer than ``least`` matched characters are passed over.
     """
     lo = int(it.start[i])
     hi = int(it.start[i + 1])
@@ -292,6 +293,8 @@ def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]
             used[t] = True
             chain.append(t)
             last = t
+        if sum(len(spans[c][5]) for c in chain) < least:
+            continue
         held = np.zeros(hi - lo, bool)
         foreign = np.zeros(n_words, bool)
         for c in chain:
@@ -319,6 +322,20 @@ def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]
     return best
 
 
+def _together(spans) -> int:
+    """The most item characters that spans which touch or nearly touch each other cover."""
+    best = size = 0
+    end = None
+    for lo, hi, *_ in sorted(spans):
+        if end is not None and lo - end <= SLACK:
+            size += max(0, hi - max(lo, end))
+            end = max(end, hi)
+        else:
+            size, end = hi - lo, hi
+        best = max(best, size)
+    return best
+
+
 def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
     """(page, item, longest run of item words) of all pages of a batch that carry at least ``run_words`` consecutive words."""
     f = fold(texts)
@@ -375,21 +392,26 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
         fresh: dict[tuple[int, int, int], None] = {}
         for p in touched:
             parts, i = found[p], p % len(it.ids)
-            spans = {k: (int(w[w >= 0][0]), int(w[w >= 0][-1]) + 1) for k, w in parts.items()}
-            if sum(int((w >= 0).sum()) for w in parts.values()) < (least[i] if rounds else 0.5 * least[i]):
-                continue
-            run = _longest_run(it, i, [(piece, b, min(int(piece_end[piece]) - b, PART), w) for (piece, b), w in parts.items()], f)
-            result[p] = max(run, result.get(p, 0))
-            if run >= run_words:
+            spans = {}
+            for k, w in parts.items():
+                m = np.flatnonzero(w >= 0)
+                spans[k] = (int(w[m[0]]), int(w[m[-1]]) + 1, m[0] <= EDGE, min(int(piece_end[k[0]]) - k[1], PART) - 1 - m[-1] <= EDGE)
+            together = _together(spans.values())
+            if together < 0.5 * least[i]:
                 continue
-            starts, ends = [lo for lo, _ in spans.values()], [hi for _, hi in spans.values()]
-            for (piece, b), (lo, hi) in spans.items():
+            if together >= least[i]:
+                run = _longest_run(it, i, [(piece, b, min(int(piece_end[piece]) - b, PART), w) for (piece, b), w in parts.items()], f, least[i])
+                result[p] = max(run, result.get(p, 0))
+                if run >= run_words:
+                    continue
+            starts, ends = [x[0] for x in spans.values()], [x[1] for x in spans.values()]
+            for (piece, b), (lo, hi, from_edge, to_edge) in spans.items():
                 if hi - lo < LEAST_SPAN:
                     continue
-                if hi < it.start[i + 1] - 2 and not any(abs(x - hi) <= SLACK for x in starts):
+                if to_edge and hi < it.start[i + 1] - 2 and not any(abs(x - hi) <= SLACK for x in starts):
                     ahead = [b + PART] if b + PART < piece_end[piece] else [int(piece_start[q]) for q in range(piece + 1, min(piece + REACH + 1, len(piece_start))) if f.page[piece_start[q]] == p // len(it.ids)]
                     fresh.update(((p, x, hi), None) for x in ahead if (int(piece_of[x]), x) not in parts)
-                if lo > it.start[i] + 2 and not any(abs(x - lo) <= SLACK for x in ends):
+                if from_edge and lo > it.start[i] + 2 and not any(abs(x - lo) <= SLACK for x in ends):
                     for q in range(piece - 1, max(piece - REACH - 1, -1), -1):
                         x, n = int(piece_start[q]), int(piece_end[q] - piece_start[q])
                         if f.page[x] != p // len(it.ids):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.payload import decoded_text
-from palimpsest.llm import identical, language, neighbours, ranking, similar, tokens
+from palimpsest.llm import identical, language, leakage, neighbours, ranking, similar, tokens
 from palimpsest.sources.tables import table
 
 
@@ -37,7 +37,7 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Queries: the rows whose id's hash is divisible by 50; searched over all rows."""
     atoms = table(spark, d, "atoms")
     asked = atoms.where(F.pmod(F.crc32("id"), F.lit(50)) == 0).select(F.col("id").alias("rec"))
-    return neighbours.neighbours(atoms, _dim(spark, d), k=5, recall=0.95, queries=asked).withColumn("similarity", F.round("similarity", 5))
+    return neighbours.neighbours(atoms, _dim(spark, d), k=5, recall=0.95, queries=asked).withColumn("similarity", F.round("similarity", 2))
 
 
 SCORES = ["access", "created", "likeness"]
@@ -72,6 +72,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """The test items that leaked, with the number of pages that carry them."""
+    return p9_leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"))
+
+
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language.passages(docs, language.fit_on(docs)).withColumn("confidence", F.round("confidence", 4))
@@ -83,7 +96,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p10_found, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
 
 
 _P1_CANON = r"""
