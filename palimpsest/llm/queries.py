@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.payload import decoded_text
-from palimpsest.llm import identical, language, leakage, neighbours, ranking, similar, tokens
+from palimpsest.llm import identical, language, leakage, neighbours, personal, ranking, similar, tokens
 from palimpsest.sources.tables import table
 
 
@@ -40,6 +40,18 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbours(atoms, _dim(spark, d), k=5, recall=0.95, queries=asked).withColumn("similarity", F.round("similarity", 2))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_spans(table(spark, d, "atoms"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select(F.col("rec").alias("atom_id"), "kind", F.col("span").alias("span_text")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "atoms"), _personal(spark, d))
+
+
 SCORES = ["access", "created", "likeness"]
 
 
@@ -96,7 +108,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p3_found, p3_redacted, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
 
 
 _P1_CANON = r"""
