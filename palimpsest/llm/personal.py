@@ -186,37 +186,34 @@ def name_words(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     seeds = cut(rows.mapInArrow(anchors, "word string, n long").groupBy("word").agg(F.sum("n").alias("anchored")))
-    counts = cut(_occurrences(rows, seeds.select("word")))
-    total = counts.agg(F.sum("n").alias("n"), F.max("all").alias("all")).first()
+    counts, total = _occurrences(rows, seeds.select("word"))
     hits = seeds.agg(F.sum("anchored").alias("a")).first()["a"] or 0
-    person = max(hits, 1) / max(total["all"] or 1, 1)
+    person = max(hits, 1) / max(total, 1)
     share = F.col("anchored") / (F.col("n") + F.lit(1.0))
-    return seeds.join(counts.groupBy("word").agg(F.sum("n").alias("n")), "word").select("word", F.log2(share / F.lit(float(person))).alias("bits"), share.alias("share")).where((F.col("bits") >= NAME_BITS) & (F.col("share") >= NAME_SHARE))
+    return seeds.join(counts, "word").select("word", F.log2(share / F.lit(float(person))).alias("bits"), share.alias("share")).where((F.col("bits") >= NAME_BITS) & (F.col("share") >= NAME_SHARE))
 
 
-def _occurrences(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``word, n, all``: how often each of the words occurs in the corpus, and how many words there are (per task)."""
+def _occurrences(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+    """``word, n``: how often each of the words occurs in the corpus; and how many words the corpus has."""
     if measured_bytes(words) <= BROADCAST_BYTES:
         wanted = rows.sparkSession.sparkContext.broadcast(frozenset(words.toArrow().column(0).to_pylist()))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
-            size = 0
             keep = wanted.value
             for b in batches:
                 for t in b.column(1).to_pylist():
                     ws = _WORD.findall(t.lower())
-                    size += len(ws)
+                    total[""] += len(ws)
                     total.update(w for w in ws if w in keep)
-            total[""] += 0
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([size] * len(total), pa.int64())], names=["word", "n", "all"])
-
-        parts = rows.mapInArrow(count, "word string, n long, all long")
-        size = parts.where("word = ''").agg(F.sum("all").alias("all"))
-        return parts.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(size))
-    every = rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.sum(F.lit(1)).alias("n"))
-    size = every.agg(F.sum("n").alias("all"))
-    return every.join(words, "word", "left_semi").crossJoin(F.broadcast(size))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
+        parts = cut(rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        size = parts.where("word = ''").first()
+        return parts.where("word <> ''"), int(size["n"]) if size else 0
+    every = rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    every = cut(every)
+    return every.join(words, "word", "left_semi"), int(every.agg(F.sum("n").alias("n")).first()["n"] or 0)
 
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
