@@ -204,38 +204,38 @@ def smith_waterman(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, band: int =
     """
     n, width = a.shape
     w = 2 * band + 1
-    h = np.zeros((n, w + 2), np.int16)  # one column of zeros on either side
-    back = np.zeros((width, n, w), np.uint8)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    h = np.zeros((width + 1, w + 2, n), np.int16)  # a row of zeros on either side of the band
     best, best_i, best_d = np.zeros(n, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(width):
-        equal = b[:, i : i + w] == a[:, i : i + 1]
-        diag = h[:, 1:-1] + np.where(equal, 2, -1).astype(np.int16)
-        up = h[:, 2:] - 2
-        cur = np.maximum(np.maximum(diag, up), 0)
+        cur = h[i + 1, 1:-1]
+        np.multiply(b[i : i + w] == a[i], np.int16(3), out=cur, casting="unsafe")
+        cur += h[i, 1:-1] - np.int16(1)
+        np.maximum(cur, h[i, 2:] - np.int16(2), out=cur)
+        np.maximum(cur, np.int16(0), out=cur)
         for d in range(1, w):
-            np.maximum(cur[:, d], cur[:, d - 1] - 2, out=cur[:, d])
-        left = np.zeros_like(cur)
-        left[:, 1:] = cur[:, :-1] - 2
-        step = np.where(cur == 0, 0, np.where(cur == diag, np.where(equal, 1, 2), np.where(cur == up, 3, 4)))
-        back[i] = step
-        h[:, 1:-1] = np.where((i < a_len)[:, None], cur, 0)
-        top = h[:, 1:-1].max(1)
-        new = top > best
-        best = np.where(new, top, best)
-        best_i = np.where(new, i, best_i)
-        best_d = np.where(new, h[:, 1:-1].argmax(1), best_d)
+            np.maximum(cur[d], cur[d - 1] - np.int16(2), out=cur[d])
+        cur *= (i < a_len).astype(np.int16)
+        top = cur.max(0)
+        new = np.flatnonzero(top > best)
+        if len(new):
+            best[new], best_i[new], best_d[new] = top[new], i, cur[:, new].argmax(0)
     match = np.full((n, width), -1, np.int64)
     i, d, live = best_i, best_d, np.flatnonzero(best > 0)
     while len(live):
-        s = back[i[live], live, d[live]]
-        hit = live[s == 1]
+        ii, dd = i[live], d[live]
+        here = h[ii + 1, dd + 1, live]
+        equal = a[ii, live] == b[ii + dd, live]
+        diag = here == h[ii, dd + 1, live] + np.where(equal, 2, -1)
+        up = ~diag & (here == h[ii, dd + 2, live] - 2)
+        hit = live[diag & equal]
         match[hit, i[hit]] = i[hit] + d[hit]
-        go_on = s > 0
-        live, s = live[go_on], s[go_on]
-        i[live[s <= 3]] -= 1
-        d[live[s == 3]] += 1
-        d[live[s == 4]] -= 1
+        left = live[~diag & ~up]
+        i[live[diag | up]] -= 1
+        d[live[up]] += 1
+        d[left] -= 1
         live = live[(i[live] >= 0) & (d[live] >= 0) & (d[live] < w)]
+        live = live[h[i[live] + 1, d[live] + 1, live] > 0]
     return best, match
 
 
@@ -382,6 +382,8 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
         if not len(pair):
             break
         size = np.minimum(piece_end[piece_of[begin]] - begin, PART)
+        order = np.argsort(size, kind="stable")  # parts of like length are padded little
+        pair, begin, offset, size = pair[order], begin[order], offset[order], size[order]
         touched = set()
         for lo in range(0, len(pair), 2048):
             sl = slice(lo, lo + 2048)
