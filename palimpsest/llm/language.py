@@ -294,13 +294,16 @@ def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str
 
 
 def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", pages: int = FIT_PAGES) -> Models | None:
-    """Models fitted on at most ``pages`` labelled pages a language, chosen by a hash of their ids; None without any."""
+    """Models fitted on at most ``pages`` labelled pages a language, chosen by a hash of their ids; None without any.
+
+    Their count is bounded (16 salted parts of ``pages // 16`` each), their texts are whole.
+    """
     from pyspark.sql import Window
 
     labelled = docs.select(F.col(id_col).alias("i"), named_language(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & (F.length("t") > 0))
     order = Window.partitionBy("l", "_s").orderBy("_h")
     # the choice is cut within 16 salted parts of each language first
-    chosen = labelled.withColumn("_h", F.xxhash64("i")).withColumn("_s", F.pmod("_h", F.lit(16))).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, pages // 16) + 1)
+    chosen = labelled.withColumn("_h", F.xxhash64("i")).withColumn("_s", F.pmod("_h", F.lit(16))).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, pages // 16))
     rows = [(r["l"], r["t"]) for r in chosen.select("l", "t", "_h").orderBy("_h").collect()]
     return fit(rows) if rows else None
 
