@@ -36,10 +36,9 @@ def heavy_keys(df: DataFrame, keys: dict[str, Column], share: float) -> DataFram
     """Keys that hold at least ``share`` of all rows, with their row count and the total.
 
     Null and empty keys are never reported, but their rows are in the total.
-    The total is the sum of one kind's counts, so the table is read once.
+    The total is the sum of one kind's counts, so only counts are gathered, no rows.
     """
     counts = key_counts(df, keys)
-    # at most 1/share values can reach the share, so the candidates are cut before anything is ranked
     totals = counts.groupBy("key_kind").agg(F.sum("n").alias("total"))
     return (
         counts.where(F.col("key_value").isNotNull() & (F.col("key_value") != ""))

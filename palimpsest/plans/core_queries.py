@@ -164,7 +164,7 @@ def access_bumps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Of candidates of a query with one payload the newest-stage-first one, all in one stage."""
+    """Of the candidates of a query that share a payload, the newest (least id at ties)."""
     atoms = table(spark, d, "atoms").select(F.col("id").alias("atom_id"), "payload", "created_at")
     pairs = table(spark, d, "recall_candidates").select("query_id", "atom_id").distinct()
     rows = pairs.join(atoms, "atom_id").withColumn("stage", F.lit(0)).withColumn("sim", F.lit(0.0))
@@ -266,7 +266,7 @@ def monotonic_ts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wal(spark: SparkSession, d: str) -> DataFrame:
-    """A log made of the events: refunds roll back, purchases commit, all others add."""
+    """A log made of the events: some ids roll back, some commit, all others add."""
     op = F.when(F.col("event_id") % 97 == 3, "ROLLBACK").when(F.col("event_id") % 61 == 5, "COMMIT").otherwise("ADD")
     return table(spark, d, "events").select(F.col("event_id").alias("lsn"), op.alias("op"), F.col("props").alias("data"))
 
@@ -288,7 +288,7 @@ NOW = "2025-03-01 00:00:00"
 
 
 def saliency(spark: SparkSession, d: str) -> DataFrame:
-    now = F.to_timestamp(F.lit(NOW))
+    now = F.to_timestamp(F.lit(f"{NOW}Z"))
     return table(spark, d, "atoms").select("id", F.round(clock.saliency(F.col("access_count"), F.col("created_at"), now), 9).alias("saliency"))
 
 
