@@ -1,17 +1,20 @@
-"""Near-duplicate records: fast similarity sketches, banding and exact verification.
+"""Near-duplicate records: an exact prefix join of word sets, and fast similarity sketches.
+
+Words are put in one order, rare ones first. Two sets of similarity ``t`` or more
+share so many words that the first few of each (a third of the longer, a sixth of
+the shorter at t = 0.7) have a word in common, so that only postings of these
+prefixes meet; sizes, positions and the parities of hashed words then drop pairs
+that cannot be similar enough, before anything is moved. None of these bounds
+drops a pair that is: whatever the words of a pair are, it reaches the exact
+verification. The order is by counts of hashed words in a fixed number of
+buckets; any order gives the same pairs, a good one fewer candidates.
 
 A record's set of words is sketched by hashed bin placement: in round ``r`` of
 the first ``t`` rounds every element is thrown into a random bin, in the next
 ``t`` rounds all elements are thrown into bin ``r - t``; a bin keeps the least
 value it saw, and earlier rounds always win. After at most ``2 t`` rounds every
-bin is filled, and equal sets agree in every bin, whatever their size.
-
-Words that stand in a large share of all records carry little information: they
-make unrelated records look alike, so that bands would fill with pairs that fail.
-A word therefore enters the sketched set in several copies, more of them the
-rarer it is (weighted Jaccard by copies). The words of the frequent levels are
-few by a counting argument, so their list may be broadcast; all others are rare.
-Every pair that shares a band is verified exactly on the full, unweighted sets.
+bin is filled, and equal sets agree in every bin, whatever their size. Sketches
+estimate similarities; the pairs do not depend on them.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut
 
-#: Bins of a sketch, and rows of a band: a pair of weighted similarity s shares a band with probability 1 - (1 - s^5)^32.
-BINS, ROWS = 160, 5
-#: A word in at least this share of the records is frequent, and counts once; every other word counts RARE_WEIGHT times.
-FREQUENT_SHARE, RARE_WEIGHT = 0.01, 6
+#: Bins of a sketch.
+BINS = 160
+#: Bits of a word's bucket: the order of words is by how many distinct sets hold words of the bucket.
+BUCKET_BITS = 20
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -91,26 +94,6 @@ def sketches(elements: np.ndarray, starts: np.ndarray, t: int = BINS) -> np.ndar
     return out.reshape(n, t)
 
 
-def bands(elements: np.ndarray, starts: np.ndarray, t: int = BINS, rows: int = ROWS) -> np.ndarray:
-    """Band keys of every set, one column a band."""
-    s = sketches(elements, starts, t).reshape(len(starts) - 1, t // rows, rows)
-    key = np.broadcast_to(np.arange(t // rows, dtype=np.uint64)[None, :], s.shape[:2]).copy()
-    with np.errstate(over="ignore"):
-        for i in range(rows):
-            key = mix(key * _STEP + s[:, :, i])
-    return key
-
-
-def _weighted(elements: np.ndarray, starts: np.ndarray, frequent: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(frequent, elements)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == elements if len(frequent) else np.zeros(len(elements), bool)
-    copies = np.where(common, 1, weight)
-    ends = np.r_[0, np.cumsum(copies)]
-    number = np.arange(ends[-1]) - np.repeat(ends[:-1], copies)
-    with np.errstate(over="ignore"):
-        return mix(np.repeat(elements, copies) + number.astype(np.uint64) * _M2), ends[starts]
-
-
 def _sets(text_rows: DataFrame) -> DataFrame:
     """``rec, grp, word_set, words``: digest of the word set and the hashes themselves; texts without words are dropped."""
 
@@ -126,34 +109,49 @@ def _sets(text_rows: DataFrame) -> DataFrame:
     return hashed.withColumn("word_set", F.unhex(F.md5("words")))
 
 
-def _frequent(sets: DataFrame, share: float) -> np.ndarray:
-    """Hashes of the words that at least ``share`` of the distinct sets hold.
-
-    Counted over all sets. There can be no more than (mean set size) / share of
-    them, so the list is bounded however large the collection is.
-    """
-    n = sets.count()
+def _spread(sets: DataFrame) -> np.ndarray:
+    """How many words of the distinct sets fall into each bucket of word hashes, over all sets; a table of fixed size."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            held.append(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64))
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield _counts(held)
-                held, size = [], 0
-        if held:
-            yield _counts(held)
+            words = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            total += np.bincount(_bucket(words), minlength=len(total))
+        got = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(total[got], pa.int64())], names=["bucket", "n"])
+
+    counted = sets.select("words").mapInArrow(fold, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    spread = np.zeros(1 << BUCKET_BITS, np.int64)
+    spread[np.asarray(counted.column(0).combine_chunks())] = np.asarray(counted.column(1).combine_chunks())
+    return spread
+
 
-    counted = sets.select("words").mapInArrow(fold, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = counted.where(F.col("n") >= F.lit(max(2.0, share * n))).select("word").toArrow().column(0)
-    return np.sort(np.asarray(words.combine_chunks()).astype(np.int64).view(np.uint64))
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
-    w, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+def prefixes(elements: np.ndarray, starts: np.ndarray, spread: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the first words of every non-empty set: set, word, position, and whether the set is found by it as the shorter of a pair; and two columns of parities a set.
+
+    Two sets x, y, the longer first, with similarity of at least ``least`` share
+    ``least / (1 + least) * (|x| + |y|)`` words, which is at least
+    ``least * |x|`` and at least ``2 * least / (1 + least) * |y|``; so the rarest
+    shared word is among the first of both. Words that stand in one set only are
+    counted, but have no posting.
+    """
+    sizes = np.diff(starts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    count = spread[_bucket(elements)]
+    order = np.lexsort((elements, count, doc))
+    at = np.arange(len(elements)) - np.repeat(starts[:-1], sizes)
+    probe = sizes - np.ceil(least * sizes - 1e-9) + 1
+    index = sizes - np.ceil(2 * least / (1 + least) * sizes - 1e-9) + 1
+    keep = (at < probe[doc]) & (count[order] > 1)
+    bit = mix(elements) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    zero = np.uint64(0)
+    parity = np.stack([np.bitwise_xor.reduceat(np.where((bit < 64) == low, one, zero), starts[:-1]) if len(sizes) else np.empty(0, np.uint64) for low in (True, False)], axis=1)
+    return doc[keep], elements[order][keep], at[keep], (at < index[doc])[keep], parity
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -172,43 +170,46 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_sets(rows: DataFrame, least: float = 0.7, share: float = FREQUENT_SHARE) -> tuple[DataFrame, DataFrame]:
+def similar_sets(rows: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Members and links: ``(rec, grp, node)`` and ``(a, b, similarity)``; a node is a distinct word set.
 
     ``rows`` has ``rec STRING, grp BINARY, text STRING``. Copies, and texts with
-    the same words, are one word set, so any number of them is banded once; links
-    are between different word sets, ``a < b``, with exact Jaccard similarity of
-    at least ``least``. Null texts and texts without words take no part. An empty
-    table gives no rows. A band shared by very many different sets is not
-    expanded in one task: the pairs come from an equi-join that adaptive
-    execution splits.
+    the same words, are one word set, so any number of them is joined once; links
+    are all pairs of different word sets, ``a < b``, with exact Jaccard
+    similarity of at least ``least`` (above 0). Null texts and texts without
+    words take no part. An empty table gives no rows. A word shared by very many
+    different sets is not expanded in one task: the pairs come from an equi-join
+    that adaptive execution splits.
     """
     distinct = cut(_sets(rows).groupBy("word_set").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()))
     members = cut(_sets(rows).select("rec", "grp", "word_set").join(distinct.select("word_set", "node"), "word_set").select("rec", "grp", "node"))
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(distinct, share))
+    spread = rows.sparkSession.sparkContext.broadcast(_spread(distinct))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
                 raw = part.column(1).to_pylist()
                 starts = np.r_[0, np.cumsum([len(x) // 8 for x in raw])]
-                keys = bands(*_weighted(np.frombuffer(b"".join(raw), np.uint64), starts, frequent.value, RARE_WEIGHT))
-                nodes = np.repeat(np.asarray(part.column(0)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes, pa.int64())], names=["band", "node"])
-
-    keyed = distinct.select("node", "words").mapInArrow(banded, "band long, node long")
-    # three integers tell who shares a band as long as no more than three sets do
-    shared = cut(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum("node").alias("s")).where("n > 1"))
-    few = shared.where("n <= 3").select("lo", "hi", F.when(F.col("n") == 3, F.col("s") - F.col("lo") - F.col("hi")).alias("mid"))
-    ends = F.when(F.col("mid").isNull(), F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
-        F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.col("lo").alias("a"), F.col("mid").alias("b")), F.struct(F.col("mid").alias("a"), F.col("hi").alias("b")))
+                doc, word, at, index, parity = prefixes(np.frombuffer(b"".join(raw), np.uint64), starts, spread.value, least)
+                nodes = np.asarray(part.column(0))[doc]
+                cols = [pa.array(word.view(np.int64)), pa.array(nodes, pa.int64()), pa.array(np.diff(starts)[doc], pa.int32()), pa.array(at, pa.int32()), pa.array(index, pa.bool_()), *[pa.array(parity[doc, k].view(np.int64)) for k in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "node", "size", "at", "index", "p0", "p1"])
+
+    postings = distinct.select("node", "words").mapInArrow(posted, "word long, node long, size int, at int, index boolean, p0 long, p1 long")
+    longer = postings.drop("index").toDF("word", "x", "nx", "ix", "x0", "x1")
+    shorter = postings.where("index").drop("index").toDF("word", "y", "ny", "iy", "y0", "y1")
+    # words that both share at least; what stands before the first shared word, and an odd parity, is not shared
+    shared = F.ceil(F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")) - F.lit(1e-9))
+    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
+    may = (
+        ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
+        & (F.col("ny") >= F.lit(least) * F.col("nx") - F.lit(1e-9))
+        & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= shared)
+        & (apart <= F.col("nx") + F.col("ny") - 2 * shared)
     )
-    two = few.select(F.explode(ends).alias("p")).select("p.a", "p.b")
-    many = shared.where("n > 3").select("band")
-    crowd = cut(keyed.join(many, "band", "left_semi"))
-    more = crowd.toDF("band", "a").join(crowd.toDF("band", "b"), "band").where("a < b").select("a", "b")
-    pairs = cut(two.unionByName(more).distinct())
+    joined = longer.join(shorter, (longer["word"] == shorter["word"]) & may)
+    pairs = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     needed = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "words")
     both = pairs.join(needed.toDF("a", "words_a"), "a").join(needed.toDF("b", "words_b"), "b")
     return members, cut(_verified(both, least))

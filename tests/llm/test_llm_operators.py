@@ -205,6 +205,23 @@ def test_near_pairs_match_brute_force(spark):
     assert similar.near_pairs(*similar.similar_sets(empty, 0.7)).count() == 0
 
 
+def test_near_pairs_in_a_family_of_a_third_of_all_rows(spark):
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(72)]
+    own = lambda i, k: [f"r{i}x{j}" for j in range(k)]
+    rows = []
+    for i in range(60):
+        # plain similarities of 0.90 and less with the bare text, whose words are all frequent
+        rows.append((f"f{i}", " ".join(rng.sample(base, 72) + own(i, rng.choice([4, 8, 18, 24])))))
+        rows.append((f"t{i}", " ".join([f"n{j}" for j in range(8)] + own(f"t{i % 40}", 3 if i % 2 else 2))))
+    rows += [(f"o{i}", " ".join(own(f"o{i}", 40))) for i in range(60)] + [("bare", " ".join(base)), ("note", " ".join(f"n{j}" for j in range(8)))]
+    df = spark.createDataFrame(rows, "rec string, text string").withColumn("grp", F.col("rec").cast("binary"))
+    got = pair_set(similar.near_pairs(*similar.similar_sets(df.select("rec", "grp", "text"), 0.7)))
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert len(want) > 500 and got == want
+
+
 # ---- tokens
 
 
