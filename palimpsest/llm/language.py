@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ORDER = 5
 #: Most labelled pages a language's model is fitted on.
 FIT_PAGES = 300
-#: Words a passage has at least, and lines of other text that may interrupt it.
+#: Words a passage has at least, and lines of other text in its own column, adverts set off by marks not counted, that may interrupt it.
 PASSAGE_WORDS, PASSAGE_GAP = 30, 6
 #: Share of correctly labelled training lines that the rejection may turn away.
 REJECT_SHARE = 0.001
@@ -39,6 +39,7 @@ THREE_LETTERS = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _COLUMNS = re.compile(r"\s{3,}")
+_MARKS = re.compile(r"\s*[^\w\s][\W_]*")
 _BROKEN = re.compile(r"[-=¬­‐‑~]\s*$")
 
 
@@ -180,14 +181,41 @@ def _kneser_ney(words: list[list[str]], weights: list[np.ndarray], languages: li
     return Models(languages, keys_by, logp_by, ctx_by, back_by, float(np.log(1.0 / (alphabet + 50))) - 2.0)
 
 
-def page_lines(text: str) -> tuple[list[list[str]], list[bool]]:
-    """Words of each line piece (columns read across are pieces of their own), and whether a word goes on in the next."""
-    words, broken = [], []
+def page_lines(text: str) -> tuple[list[list[str]], list[bool], list[bool]]:
+    """Words of each line piece (columns read across are pieces of their own), whether a word goes on in the next, and whether it has marks only."""
+    words, broken, marks = [], [], []
     for line in text.splitlines():
         for piece in _COLUMNS.split(line):
             words.append(_WORD.findall(piece.lower()))
             broken.append(bool(_BROKEN.search(piece)))
-    return words, broken
+            marks.append(not words[-1] and bool(_MARKS.fullmatch(piece)))
+    return words, broken, marks
+
+
+def _interruption(words: list[list[str]], marks: list[bool], own: list[int]) -> int:
+    """How many of the pieces ``own`` have words and stand in no advert (what a pair of pieces of marks only encloses)."""
+    n, opened = 0, None
+    for k in own:
+        if marks[k]:
+            n, opened = (n, n) if opened is None else (opened, None)
+        elif words[k]:
+            n += 1
+    return n
+
+
+def _goes_on(words: list[list[str]], marks: list[bool], i: int, j: int, before: bool, after: bool) -> bool:
+    """Whether pieces ``i`` and ``j`` of one language, only other languages between them, belong to one passage.
+
+    Columns read in turn alternate: if the passage has every other piece before
+    ``i`` or after ``j``, only every other piece between them is of its column.
+    If the other column ended before the passage did, all pieces from there on are.
+    """
+    ways = [range(i + 1, j)]
+    if (before or after) and (j - i) % 2 == 0:
+        ways.append(range(i + 2, j, 2))
+    if before:
+        ways += [[*range(i + 2, end, 2), *range(end, j)] for end in range(i + 2, j)]
+    return any(_interruption(words, marks, list(own)) <= PASSAGE_GAP for own in ways)
 
 
 def fit(pages: list[tuple[str, str]]) -> Models:
@@ -261,9 +289,11 @@ def _decide(models: Models, scores: np.ndarray, chars: np.ndarray, page: np.ndar
 def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str, float, int, int, int, bool]]:
     """Passages of all pages: (page, language, confidence, words, first line, last line, is the page's main language)."""
     lines, page, number, glued = [], [], [], []
+    pieces: dict[int, tuple[list[list[str]], list[bool]]] = {}
     for p, text in enumerate(texts):
         if text:
-            ws, broken = page_lines(text)
+            ws, broken, marks = page_lines(text)
+            pieces[p] = ws, marks
             for i, (w, b) in enumerate(zip(ws, broken)):
                 if w:
                     lines.append(w), page.append(p), number.append(i), glued.append(b)
@@ -287,7 +317,10 @@ def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str
             continue
         for lang in np.unique(best[lo:hi]):
             mine = lo + np.flatnonzero(best[lo:hi] == lang)
-            for run in np.split(mine, np.flatnonzero(np.diff(mine) > PASSAGE_GAP + 1) + 1):
+            at = [number[k] for k in mine]
+            far = np.flatnonzero(np.diff(mine) > PASSAGE_GAP + 1).tolist()
+            ends = [k + 1 for k in far if not _goes_on(*pieces[p], at[k], at[k + 1], k > 0 and at[k] - at[k - 1] == 2, k + 2 < len(at) and at[k + 2] - at[k + 1] == 2)]
+            for run in np.split(mine, ends):
                 c = chars[run]
                 out.append((p, models.languages[lang], float((sure[run] * c).sum() / c.sum()), int(words[run].sum()), number[run[0]], number[run[-1]], bool(lang == main)))
     return out

@@ -341,6 +341,33 @@ def test_languages(spark):
     assert language.fit_on(docs.limit(0)) is None and language.passages(docs, None).count() == 0
 
 
+@pytest.mark.parametrize("advert,foreign,joined", [(2, 0, True), (3, 0, True), (9, 0, True), (3, 8, False)])
+@pytest.mark.parametrize("across", [False, True])
+def test_adverts_do_not_interrupt_columns_read_in_turn(advert, foreign, joined, across):
+    rng = random.Random(9)
+    models = language.fit([(lang, "\n".join(sentence(lang, 60, rng))) for lang in VOCABULARY for _ in range(3)])
+    mine = sentence("fr", 4, rng) + ["———"] + sentence("en", advert, rng) + ["* * *"] + sentence("en", foreign, rng) + sentence("fr", 4, rng)
+    other = sentence("en", len(mine), rng)
+    pages = ["\n".join(f"{a}     {b}" if across else f"{a}\n{b}" for a, b in zip(mine, other)), "\n".join(mine + other)]
+    found = language.detect_batch(models, pages)
+    for p in range(2):
+        fr = [x for x in found if x[0] == p and x[1] == "fr"]
+        assert len(fr) == (1 if joined else 2) and (max(x[3] for x in fr) >= language.PASSAGE_WORDS) == joined
+
+
+def test_a_passage_goes_on_where_the_other_column_ends():
+    rng = random.Random(10)
+    models = language.fit([(lang, "\n".join(sentence(lang, 60, rng))) for lang in VOCABULARY for _ in range(3)])
+    mine = sentence("fr", 4, rng) + ["———"] + sentence("en", 5, rng) + ["* * *"] + sentence("fr", 4, rng)
+    other = sentence("en", 8, rng)
+    turns = [x for p in zip(mine, other) for x in p] + mine[8:]
+    found = [x for x in language.detect_batch(models, ["\n".join(turns)]) if x[1] == "fr"]
+    assert len(found) == 1 and found[0][3] == 48
+    # an article of its own between two short passages is no advert
+    text = sentence("fr", 4, rng) + sentence("en", 8, rng) + sentence("fr", 4, rng)
+    assert len([x for x in language.detect_batch(models, ["\n".join(text)]) if x[1] == "fr"]) == 2
+
+
 def test_model_probabilities_sum_to_one():
     m = language.fit([("en", "the cat sat on the mat\nthe dog"), ("de", "der hund und die katze")])
     words = ["the", "x", "katze", unicodedata.normalize("NFC", "über")]
