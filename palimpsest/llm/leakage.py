@@ -5,8 +5,8 @@ are read in turn. So a page is cut into pieces (lines, or the columns of a line)
 and pieces are compared as runs of letters and digits with often confused
 characters folded. Rare character n-grams of the items (rare: among the less
 frequent half of their neighbourhood by document frequency, counted over the
-whole corpus, and in few items) seed candidate pieces; each is aligned to its
-item by banded Smith-Waterman; aligned pieces that follow each other in the item,
+whole corpus, and in few items) seed candidate pieces; each is aligned to every
+item that has enough seeds on the page, however many more another item has, by banded Smith-Waterman; aligned pieces that follow each other in the item,
 whatever stands between them on the page, are chained; the longest run of
 item words that the chain carries decides.
 """
@@ -31,8 +31,8 @@ ITEM_BLOCK = 2_000
 RUN_WORDS = 12
 #: Half width of the alignment band, longest piece part aligned at once, pieces that may lie between two of a chain.
 BAND, PART, REACH = 6, 64, 10
-#: An item is aligned if it has this share of the seeds of the best item in some part; rounds in which aligned parts look for their neighbours.
-LEAD, ROUNDS = 0.75, 3
+#: Rounds in which aligned parts look for their neighbours.
+ROUNDS = 3
 #: Characters an aligned part spans at least to look for its neighbours.
 LEAST_SPAN = 12
 #: Item characters that may be missing between, or shared by, two chained pieces.
@@ -363,17 +363,9 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
     key = np.stack([pair, part_begin, offset])
     uniq, votes = np.unique(key, axis=1, return_counts=True)
     order = np.lexsort((-votes, uniq[1], uniq[0]))
-    uniq, votes = uniq[:, order], votes[order]
+    uniq = uniq[:, order]
     lead = np.flatnonzero(np.r_[True, (np.diff(uniq[0]) != 0) | (np.diff(uniq[1]) != 0)])
     pair, begin, offset = uniq[:, lead]
-    # an item goes on if it leads, or nearly leads, some part of the page by its seeds
-    total = np.add.reduceat(votes, lead)
-    part, inverse = np.unique(begin, return_inverse=True)
-    most = np.zeros(len(part), np.int64)
-    np.maximum.at(most, inverse, total)
-    leading = np.unique(pair[total >= LEAD * most[inverse]])
-    keep = np.isin(pair, leading)
-    pair, begin, offset = pair[keep], begin[keep], offset[keep]
     found: dict[int, dict[tuple[int, int], np.ndarray]] = defaultdict(dict)
     tried: set[tuple[int, int, int]] = set()
     result: dict[int, int] = {}

@@ -294,6 +294,16 @@ def test_leaks(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_an_item_is_tried_whatever_another_item_has_on_the_page():
+    words = "vault coral fibre grape haste ivory joker knife lemon mango noble olive piano quilt raven sugar tulip umber wheat yacht zebra acorn birch cedar".split()
+    texts = [" ".join(words), " ".join([*words[6:18], "nothing", "else", "of", "this", "stands", "there"])]
+    it = leakage.Items([1, 2], texts)
+    it.choose(np.ones(len(it.keys), np.int64))
+    # either line carries twice as much of the first item as of the second
+    got = leakage.leaks_in(it, [" ".join(words[:12]) + "\n" + " ".join(words[12:]), " ".join(words[:6])])
+    assert {(p, i) for p, i, _ in got} == {(0, 0), (0, 1)}
+
+
 def test_smith_waterman_aligns_with_gaps():
     a = np.frombuffer(b"copperjar", np.uint8)[None, :]
     b = np.full((1, 9 + 2 * leakage.BAND), 1, np.uint8)
