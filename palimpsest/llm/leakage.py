@@ -5,7 +5,8 @@ are read in turn. So a page is cut into pieces (lines, or the columns of a line)
 and pieces are compared as runs of letters and digits with often confused
 characters folded. Rare character n-grams of the items (rare: among the less
 frequent half of their neighbourhood by document frequency, counted over the
-whole corpus, and in few items) seed candidate pieces; each is aligned to every
+whole corpus, and in few items), and in every run of words that could leak the
+rarest there are, seed candidate pieces; each is aligned to every
 item that has enough seeds on the page, however many more another item has, by banded Smith-Waterman; aligned pieces that follow each other in the item,
 whatever stands between them on the page, are chained; the longest run of
 item words that the chain carries decides.
@@ -23,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a seed, items a seed may stand in, rare seeds a page and an item share at least.
+#: Characters of a seed, items that the rare seeds may stand in, seeds a page and an item share at least.
 GRAM, SEED_ITEMS, SEEDS = 7, 16, 2
+#: Seeds that every run of RUN_WORDS item words has at least, if it has as many n-grams, whatever their frequency.
+WINDOW_SEEDS = 24
 #: Items that are broadcast at once; more are worked off in blocks.
 ITEM_BLOCK = 2_000
 #: Consecutive item words that make a leak.
@@ -156,11 +159,16 @@ class Items:
         hit = self.keys[at] == h[maybe]
         return maybe[hit], at[hit]
 
-    def choose(self, df: np.ndarray) -> None:
-        """Keep, around every position, the half of the n-grams that fewer pages have, of those that few items share."""
-        pairs = np.unique(np.stack([self.inv, self.item[self.pos]]), axis=1) if len(self.pos) else np.empty((2, 0), np.int64)
-        spread = np.bincount(pairs[0], minlength=len(self.keys))
-        cost = np.where(spread[self.inv] <= SEED_ITEMS, df[self.inv], np.iinfo(np.int64).max)
+    def choose(self, df: np.ndarray, spread: np.ndarray | None = None, run_words: int = RUN_WORDS) -> None:
+        """Keep, around every position, the half of the n-grams that fewer pages have, of those that few items share; and the rarest of every ``run_words`` words.
+
+        ``spread`` tells in how many items each n-gram stands, if there are others than these.
+        """
+        if spread is None:
+            pairs = np.unique(np.stack([self.inv, self.item[self.pos]]), axis=1) if len(self.pos) else np.empty((2, 0), np.int64)
+            spread = np.bincount(pairs[0], minlength=len(self.keys))
+        pages = df[self.inv]
+        cost = np.where(spread[self.inv] <= SEED_ITEMS, pages, np.iinfo(np.int64).max)
         kept = np.zeros(len(self.pos), bool)
         for i in range(len(self.ids)):
             lo, hi = np.searchsorted(self.item[self.pos], [i, i + 1])
@@ -168,6 +176,15 @@ class Items:
                 b = min(hi, a + 36)
                 part = cost[a:b]
                 kept[a:b] |= (part <= np.median(part)) & (part < np.iinfo(np.int64).max)
+            word, first = self.word[self.start[i] : self.start[i + 1]], int(self.start[i])
+            begin = first + np.flatnonzero(np.r_[True, np.diff(word) != 0]) if len(word) else np.empty(0, np.int64)
+            end = np.r_[begin[1:], self.start[i + 1]]
+            from_, to = np.searchsorted(self.pos[lo:hi], begin) + lo, np.searchsorted(self.pos[lo:hi], end - GRAM, "right") + lo
+            for a, b in zip(from_[: len(begin) - run_words + 1], to[run_words - 1 :]):
+                short = WINDOW_SEEDS - int(kept[a:b].sum())
+                if short > 0:
+                    rest = a + np.flatnonzero(~kept[a:b])
+                    kept[rest[np.argsort(pages[rest], kind="stable")[:short]]] = True
         self.kept = kept
         self._index()
 
@@ -441,7 +458,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == n)
         got = mine.toArrow()
         block = Items(got.column(0).to_pylist(), got.column(1).to_pylist())
-        block.choose(document_frequency(docs, text, block))
+        spread = None if blocks == 1 else document_frequency(rows, item_text, block)
+        block.choose(document_frequency(docs, text, block), spread, run_words)
         found = _found(docs.select(id_col, text), block, shape, [id_col, item_id, "run_words"], run_words)
         out = found if out is None else out.unionByName(found)
     return out

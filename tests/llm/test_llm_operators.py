@@ -304,6 +304,29 @@ def test_an_item_is_tried_whatever_another_item_has_on_the_page():
     assert {(p, i) for p, i, _ in got} == {(0, 0), (0, 1)}
 
 
+def test_a_passage_that_many_items_share_leaks_for_all(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = "the jury of the fair gave its prize to the keeper of the old toll bridge".split()
+    own = lambda: ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6)) for _ in range(14)]
+    items = [(i, " ".join(own() + shared + own())) for i in range(20)]
+    docs = spark.createDataFrame([(1, "\n".join(broken(" ".join(shared), 40, rng, 0))), (2, " ".join(own()))], "doc_id long, text string")
+    want = {(1, i) for i in range(20)}
+    for block in (2_000, 5):
+        monkeypatch.setattr(leakage, "ITEM_BLOCK", block)
+        rows = leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_every_run_of_item_words_has_seeds():
+    text = "so we go on as he is in it or up to an ox by my sea at no end of day if I am"
+    it = leakage.Items([i for i in range(20)], [text] * 20)
+    it.choose(np.ones(len(it.keys), np.int64))
+    for i in range(len(text.split()) - leakage.RUN_WORDS + 1):
+        at = np.flatnonzero((it.word >= i) & (it.word < i + leakage.RUN_WORDS))
+        inside = (it.pos >= at[0]) & (it.pos <= at[-1] + 1 - leakage.GRAM)
+        assert it.kept[inside].sum() == min(inside.sum(), leakage.WINDOW_SEEDS) or it.kept[inside].sum() > leakage.WINDOW_SEEDS
+
+
 def test_smith_waterman_aligns_with_gaps():
     a = np.frombuffer(b"copperjar", np.uint8)[None, :]
     b = np.full((1, 9 + 2 * leakage.BAND), 1, np.uint8)
