@@ -286,15 +286,18 @@ def personal_spans(atoms: DataFrame, id_col: str = "id", payload: str = "payload
 
     Where spans overlap the longest stands, of equally long ones the first.
     Null and empty payloads have none; repeated texts are reported each. Whole
-    texts are read. An empty table gives no rows.
+    texts are read. An empty table gives no rows. All co-occurrences are counted
+    over distinct texts, so that copies of one text, however many, teach nothing.
     """
-    rows = atoms.select(F.col(id_col).cast("string").alias("rec"), decoded_text(F.col(payload)).alias("text")).where(F.length("text") > 0)
+    every = atoms.select(F.col(id_col).cast("string").alias("rec"), decoded_text(F.col(payload)).alias("text")).where(F.length("text") > 0).withColumn("digest", F.md5("text"))
+    rows = cut(every.groupBy("digest").agg(F.first("text").alias("text"))).select(F.col("digest").alias("rec"), "text")
     found = cut(disclosed(cut(_proposed(rows))).unionByName(_names(rows, name_words(rows))))
     # overlaps: few spans a text, so one window over the text's own spans
     order = Window.partitionBy("rec").orderBy("start", F.length("span").desc())
     end = F.col("start") + F.length("span")
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).drop("_reach")
+    spans = found.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).drop("_reach").withColumnRenamed("rec", "digest")
+    return every.select("rec", "digest").join(spans, "digest").select("rec", "start", "span", "kind")
 
 
 def redacted(atoms: DataFrame, spans: DataFrame, id_col: str = "id", payload: str = "payload") -> DataFrame:

@@ -117,6 +117,15 @@ def test_personal_spans(spark):
     assert personal.personal_spans(df.limit(0)).count() == 0
 
 
+def test_copies_of_one_payload_do_not_unlearn_its_name(spark):
+    rows = [(f"p{i}", f"Dr. {['Anna Velder', 'Ilka Berg', 'Anna Berg'][i % 3]} signed form {i} of the day.") for i in range(30)]
+    rows += [(f"h{i}", "Anna Berg called about the mill") for i in range(300)]
+    rows += [(f"x{i}", f"The mill wheel turned {i} times while rain fell on the roof of the house") for i in range(300)]
+    got = {(r["rec"], r["kind"], r["span"]) for r in personal.personal_spans(spark.createDataFrame(rows, ATOM)).collect()}
+    want = {(f"p{i}", "person", ["Anna Velder", "Ilka Berg", "Anna Berg"][i % 3]) for i in range(30)}
+    assert got == want | {(f"h{i}", "person", "Anna Berg") for i in range(300)}
+
+
 # ---- fused ranking
 
 
