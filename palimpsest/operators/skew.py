@@ -9,6 +9,7 @@ one state per map task, so no reducer sees its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,25 +74,28 @@ def range_laid(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return cut(laid)
 
 
-def running_total(laid: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
-    """Running sum of ``value`` per key in ``order`` over :func:`range_laid` rows, without one task per key.
+def running(laid: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], fold: Callable[[str], Column], own: bool = True) -> DataFrame:
+    """Running ``fold`` (``F.sum`` or ``F.bit_or``) per key in ``order`` over :func:`range_laid` rows, without one task per key.
 
-    Inside a partition a window sums; what earlier partitions hold of the same
-    key is added from a table with one row per (partition, key).
+    ``values`` maps new columns to what is folded; with ``own`` a row's own value
+    is in. Inside a partition a window folds; what earlier partitions hold of the
+    same key is folded in from a table with one row per (partition, key).
     """
-    v = laid.withColumn("_v", value)
-    part = v.groupBy("_part", *keys).agg(F.sum("_v").alias("_s"))
+    outs = list(values)
+    both = (lambda a, b: a + b) if fold is F.sum else (lambda a, b: a.bitwiseOR(b))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    v = laid.withColumns({f"_v{o}": c for o, c in values.items()})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    part = part.toDF("_bp", *[f"_b{i}" for i in range(len(keys))], "_before")
+    part = v.groupBy("_part", *keys).agg(*[fold(f"_v{o}").alias(f"_s{o}") for o in outs])
+    part = part.select(F.col("_part").alias("_bp"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], *[zero(fold(f"_s{o}").over(before)).alias(f"_p{o}") for o in outs])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_bp"))
-    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        v.withColumn("_in", F.sum("_v").over(inside))
-        .join(part, same)
-        .withColumn(out, F.col("_in") + F.col("_before"))
-        .drop("_v", "_in", "_bp", "_before", *[f"_b{i}" for i in range(len(keys))])
-    )
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+    return v.select("*", *[zero(fold(f"_v{o}").over(inside)).alias(f"_i{o}") for o in outs]).join(part, same).select(*laid.columns, *[both(F.col(f"_i{o}"), F.col(f"_p{o}")).alias(o) for o in outs])
+
+
+def running_total(laid: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` per key; see :func:`running`."""
+    return running(laid, keys, order, {out: value}, F.sum)
 
 
 def competition_rank(df: DataFrame, keys: list[str], scores: dict[str, str]) -> DataFrame:

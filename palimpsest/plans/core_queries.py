@@ -125,22 +125,18 @@ def bootstrap_entities(spark: SparkSession, d: str) -> DataFrame:
 # ---- recall
 
 
-def _found(spark: SparkSession, d: str, max_hops: int | None = None) -> recall.Candidates:
-    return recall.candidates(_all_atoms(spark, d), table(spark, d, "kg_index"), _asked(spark, d), max_hops)
-
-
 def hop_n(spark: SparkSession, d: str) -> DataFrame:
     """The least hop at which every candidate was reached."""
-    return metrics.first_hop(_found(spark, d).hops).select("query_id", "atom_id", F.col("min_hop").cast("long").alias("min_hop"))
+    found = recall.hops(_all_atoms(spark, d), table(spark, d, "kg_index"), _asked(spark, d))
+    return found.select("query_id", "atom_id", F.col("hop").alias("min_hop"))
 
 
 def known_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d).entities
+    return recall.known(_all_atoms(spark, d), table(spark, d, "kg_index"), _asked(spark, d))
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    atoms, index, q = _all_atoms(spark, d), table(spark, d, "kg_index"), _asked(spark, d)
-    return recall.ranked(recall.candidates(atoms, index, q), atoms, index, q)
+    return recall.ranked(_all_atoms(spark, d), table(spark, d, "kg_index"), _asked(spark, d))
 
 
 def recall_ranks(spark: SparkSession, d: str) -> DataFrame:
