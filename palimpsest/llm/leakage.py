@@ -15,7 +15,6 @@ item words that the chain carries decides.
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +33,6 @@ ITEM_BLOCK = 2_000
 RUN_WORDS = 12
 #: Half width of the alignment band, longest piece part aligned at once, pieces that may lie between two of a chain.
 BAND, PART, REACH = 6, 64, 10
-#: Rounds in which aligned parts look for their neighbours.
-ROUNDS = 3
 #: Characters an aligned part spans at least to look for its neighbours.
 LEAST_SPAN = 12
 #: Item characters that may be missing between, or shared by, two chained pieces.
@@ -46,28 +43,48 @@ EDGE = 3
 # Scanned characters that are often read for another, by what they are folded to.
 FOLDS = {"i": "l1!|ij", "o": "0oø°", "s": "5sſ", "c": "c(", "t": "t+", "b": "6b8", "z": "2z"}
 
-_DROP, _BREAK, _PAGE = 0, 1, 2
+_BREAK = 1
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Code points with a folding of their own; letters beyond are folded one by one.
+_TABLED = 0x2500
+
+
+def _is_single(cp: int) -> bool:
+    """Whether a character of a script without blanks is a word by itself."""
+    return 0x3040 <= cp <= 0x30FF or 0x3400 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF or 0x20000 <= cp <= 0x3FFFF or 0xE00 <= cp <= 0xEFF
 
 
 def _folding() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point below 65536: its folded letter code (0: no letter or digit, 1: line break), and whether it is a digit."""
+    """For each code point below ``_TABLED``: its folded letter code (0: no letter or digit, 1: line break), and whether it is a digit."""
     to = {c: k for k, cs in FOLDS.items() for c in cs}
-    table, digit = np.zeros(65536, np.uint8), np.zeros(65536, bool)
+    table, digit = np.zeros(_TABLED, np.uint16), np.zeros(_TABLED, bool)
     codes: dict[str, int] = {}
-    for cp in range(0x2500):
+    for cp in range(_TABLED):
         ch = chr(cp).lower()[:1]
         ch = to.get(ch) or unicodedata.normalize("NFD", ch)[:1]
         ch = to.get(ch, ch)
         if ch.isalnum():
-            table[cp] = codes.setdefault(ch, 3 + len(codes) % 250)
+            table[cp] = codes.setdefault(ch, 3 + len(codes))
             digit[cp] = chr(cp).isdigit()
-    for ch in "\n\r\x0b\x0c  ":
-        table[ord(ch)] = _BREAK
+    for cp in (0x0A, 0x0D, 0x0B, 0x0C, 0x85, 0x2028, 0x2029):
+        table[cp] = _BREAK
     return table, digit
 
 
 _TABLE, _DIGIT = _folding()
+_FIRST_FREE = int(_TABLE.max()) + 1
+
+
+def _fold_high(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any code points; letters beyond the table have codes by their own number."""
+    low = codes < _TABLED
+    cls, digit = _TABLE[np.where(low, codes, 0)], _DIGIT[np.where(low, codes, 0)]
+    high = np.flatnonzero(~low)
+    kinds, at = np.unique(codes[high], return_inverse=True)
+    letters = [chr(int(c)).lower() for c in kinds]
+    cls[high] = np.array([_FIRST_FREE + ord(c[0]) % (65_521 - _FIRST_FREE) if c[:1].isalnum() else 0 for c in letters], np.uint16)[at]
+    digit[high] = np.array([c.isdigit() for c in letters], bool)[at]
+    return cls, digit
 
 
 @dataclass
@@ -76,27 +93,31 @@ class Folded:
 
     char: np.ndarray
     digit: np.ndarray
-    joined: np.ndarray  # no blank or sign stands before this character
+    joined: np.ndarray  # no blank or sign stands before this character, and it is no word by itself
     piece: np.ndarray
     page: np.ndarray
 
 
 def fold(texts: list[str | None]) -> Folded:
-    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    codes = np.minimum(codes, 65535)
-    cls = _TABLE[codes]
-    turn = codes == 0xE000
+    """Letters and digits of all texts with the piece and the text they stand in; signs written as one for several letters are taken apart."""
+    texts = ["" if t is None else t if t.isascii() or max(t) < chr(_TABLED) else unicodedata.normalize("NFKC", t) for t in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    every = len(codes) == 0 or int(codes.max()) < _TABLED
+    cls, digit = (_TABLE[codes], _DIGIT[codes]) if every else _fold_high(codes)
+    page = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    turn = np.r_[False, page[1:] != page[:-1]] if len(page) else np.empty(0, bool)
     if len(codes) >= 3:
         blank = codes == 32
         gap = blank[:-2] & blank[1:-1] & blank[2:]
-        cls = cls.copy()
         cls[:-2][gap] = _BREAK
     piece = np.cumsum((cls == _BREAK) | turn)
-    page = np.cumsum(turn)
-    keep = cls > _PAGE
-    at = np.flatnonzero(keep)
-    joined = np.r_[False, np.diff(at) == 1] if len(at) else np.empty(0, bool)
-    return Folded(cls[keep], _DIGIT[codes][keep], joined, piece[keep], page[keep])
+    at = np.flatnonzero(cls > _BREAK)
+    joined = np.r_[False, (np.diff(at) == 1) & ~turn[at[1:]]] if len(at) else np.empty(0, bool)
+    if not every:
+        single = np.isin(codes[at], [c for c in np.unique(codes[at]) if _is_single(int(c))])
+        joined &= ~single & ~np.r_[False, single[:-1]]
+    return Folded(cls[at], digit[at], joined, piece[at], page[at])
 
 
 def gram_hashes(char: np.ndarray, group: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -256,71 +277,92 @@ def smith_waterman(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, band: int =
     return best, match
 
 
-def _align(it: Items, f: Folded, begin: np.ndarray, size: np.ndarray, item: np.ndarray, offset: np.ndarray) -> list[np.ndarray | None]:
-    """Align piece parts to their items at ``offset`` (item position of the part's first character)."""
-    n = len(begin)
-    width = int(min(PART, size.max())) if n else 0
+class _Parts:
+    """Aligned parts: their pair, piece, place, the item positions ``lo`` to ``hi`` they are matched with, and whether they are matched from and to their edges."""
+
+    def __init__(self) -> None:
+        self.where: list[np.ndarray] = []
+        self.columns = {k: np.empty(0, np.int64) for k in ("pair", "piece", "begin", "size", "lo", "hi", "n", "from_edge", "to_edge")}
+
+    def add(self, where: list[np.ndarray], **columns: np.ndarray) -> None:
+        self.where.extend(where)
+        self.columns = {k: np.concatenate([v, columns[k]]) for k, v in self.columns.items()}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+
+def _align(it: Items, f: Folded, parts: _Parts, pair: np.ndarray, piece: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Align piece parts to their items at ``offset`` (item position of the part's first character); what matches is added, its pairs are returned."""
+    item = pair % len(it.ids)
+    width = int(min(PART, size.max()))
     cols = np.arange(width)
     inside = cols[None, :] < size[:, None]
-    a = np.where(inside, f.char[np.minimum(begin[:, None] + cols, len(f.char) - 1)], 0)
+    a = np.where(inside, f.char[np.minimum(begin[:, None] + cols, len(f.char) - 1)], np.uint16(0))
     bcols = offset[:, None] - BAND + np.arange(width + 2 * BAND)[None, :]
     there = (bcols >= it.start[item][:, None]) & (bcols < it.start[item + 1][:, None])
-    b = np.where(there, it.char[np.clip(bcols, 0, len(it.char) - 1)], 1)
+    b = np.where(there, it.char[np.clip(bcols, 0, len(it.char) - 1)], np.uint16(1))
     score, match = smith_waterman(a, size, b)
-    where = np.where(match >= 0, match + (offset - BAND)[:, None], -1)
-    good = (score >= 8) & ((match >= 0).sum(1) >= 5)
-    return [w if g else None for w, g in zip(where, good.tolist())]
-
-
-def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]], f: Folded, least: float) -> int:
-    """The most consecutive item words that one chain of parts (piece, first character, length, item position of each character) carries.
+    hit = match >= 0
+    n = hit.sum(1)
+    good = np.flatnonzero((score >= 8) & (n >= 5))
+    hit, where = hit[good], np.where(hit[good], match[good] + (offset[good] - BAND)[:, None], -1)
+    first, last = hit.argmax(1), width - 1 - hit[:, ::-1].argmax(1)
+    rows = np.arange(len(good))
+    parts.add(
+        list(where), pair=pair[good], piece=piece[good], begin=begin[good], size=size[good], lo=where[rows, first], hi=where[rows, last] + 1, n=n[good],
+        from_edge=(first <= EDGE).astype(np.int64), to_edge=(size[good] - 1 - last <= EDGE).astype(np.int64),
+    )
+    return pair[good]
+
+
+def _longest_run(it: Items, i: int, rows: np.ndarray, parts: _Parts, f: Folded, least: float) -> int:
+    """The most consecutive item words that one chain of parts carries.
 
     A chain goes on only from the end of a part to the beginning of another;
     chains of fewer than ``least`` matched characters are passed over.
     """
     lo = int(it.start[i])
     hi = int(it.start[i + 1])
-    spans = []
-    for piece, begin, size, where in parts:
-        m = np.flatnonzero(where >= 0)
-        spans.append((piece, int(where[m[0]]), int(where[m[-1]]) + 1, begin, where, m, int(m[0]) <= EDGE, size - 1 - int(m[-1]) <= EDGE))
-    spans.sort(key=lambda s: (s[0], s[3]))
+    rows = rows[np.lexsort((parts.begin[rows], parts.piece[rows]))]
+    piece, start, end, count, from_, to = (parts.columns[c][rows].tolist() for c in ("piece", "lo", "hi", "n", "from_edge", "to_edge"))
     word = it.word[lo:hi]
     first_word = int(word[0])
     n_words = int(word[-1]) - first_word + 1
-    sizes = np.bincount(word - first_word, minlength=n_words)
-    numbers = np.bincount(word - first_word, it.digit[lo:hi], minlength=n_words) > 0
+    sizes = numbers = None
     best = 0
-    used = [False] * len(spans)
-    for s in range(len(spans)):
+    used = [False] * len(rows)
+    for s in range(len(rows)):
         if used[s]:
             continue
         chain, last = [s], s
-        while True:
-            for t in range(last + 1, len(spans)) if spans[last][7] else ():
-                if spans[t][0] - spans[last][0] > REACH:
-                    t = len(spans)
+        while to[last]:
+            for t in range(last + 1, len(rows)):
+                if piece[t] - piece[last] > REACH:
+                    t = len(rows)
                     break
-                if not used[t] and spans[t][6] and -SLACK <= spans[t][1] - spans[last][2] <= SLACK and spans[t][2] > spans[last][2]:
+                if not used[t] and from_[t] and -SLACK <= start[t] - end[last] <= SLACK and end[t] > end[last]:
                     break
             else:
-                t = len(spans)
-            if t >= len(spans):
+                t = len(rows)
+            if t >= len(rows):
                 break
             used[t] = True
             chain.append(t)
             last = t
-        if sum(len(spans[c][5]) for c in chain) < least:
+        if sum(count[c] for c in chain) < least:
             continue
+        if sizes is None:
+            sizes = np.bincount(word - first_word, minlength=n_words)
+            numbers = np.bincount(word - first_word, it.digit[lo:hi], minlength=n_words) > 0
         held = np.zeros(hi - lo, bool)
         foreign = np.zeros(n_words, bool)
         for c in chain:
-            _, _, _, begin, where, m, _, _ = spans[c]
-            pos = where[m] - lo
-            held[pos] = True
+            begin, where = int(parts.begin[rows[c]]), parts.where[rows[c]]
+            m = np.flatnonzero(where >= 0)
+            held[where[m] - lo] = True
             # digits that stand right beside a number on the page make it another number
-            num = m[it.digit[where[m]]]
-            for x in num:
+            for x in m[it.digit[where[m]]]:
                 at, w = begin + x, int(word[where[x] - lo]) - first_word
                 for near, glue in ((at - 1, at), (at + 1, at + 1)):
                     if 0 <= near < len(f.char) and glue < len(f.char) and f.joined[glue] and f.digit[near] and f.piece[near] == f.piece[at]:
@@ -339,18 +381,40 @@ def _longest_run(it: Items, i: int, parts: list[tuple[int, int, int, np.ndarray]
     return best
 
 
-def _together(spans) -> int:
-    """The most item characters that spans which touch or nearly touch each other cover."""
-    best = size = 0
-    end = None
-    for lo, hi, *_ in sorted(spans):
-        if end is not None and lo - end <= SLACK:
-            size += max(0, hi - max(lo, end))
-            end = max(end, hi)
-        else:
-            size, end = hi - lo, hi
-        best = max(best, size)
-    return best
+@dataclass
+class _Reach:
+    """Of pairs (sorted): whether what their parts cover together is half of what a run needs, and all of it; of parts, whether the passage may go on before and after."""
+
+    pairs: np.ndarray
+    half: np.ndarray
+    full: np.ndarray
+    ahead: np.ndarray
+    behind: np.ndarray
+
+
+def _reach(it: Items, parts: _Parts, rows: np.ndarray, least: np.ndarray, run_words: int) -> _Reach:
+    """Item stretches that the parts ``rows`` of each pair cover without a gap of more than SLACK."""
+    pairs, p = np.unique(parts.pair[rows], return_inverse=True)
+    item = pairs % len(it.ids)
+    apart = np.int64(len(it.char) + 4 * SLACK)
+    lo, hi = parts.lo[rows] + p * apart, parts.hi[rows] + p * apart
+    order = np.lexsort((hi, lo))
+    a, b, q = lo[order], hi[order], p[order]
+    before = np.r_[np.int64(-apart), np.maximum.accumulate(b)[:-1]]
+    new = a > before + SLACK
+    begin = np.flatnonzero(new)
+    size = np.add.reduceat(np.where(new, b - a, np.maximum(0, b - np.maximum(a, before))), begin)
+    of = q[begin]
+    words = it.word[np.maximum.reduceat(b, begin) - of * apart - 1] - it.word[a[begin] - of * apart] + 1
+    half, full = np.zeros(len(pairs), bool), np.zeros(len(pairs), bool)
+    half[of[size >= 0.5 * least[item[of]]]] = True
+    full[of[(size >= least[item[of]]) & (words >= run_words)]] = True  # a run lies in one stretch
+    starts, ends = np.sort(lo), np.sort(hi)
+    none = lambda at, x: np.searchsorted(at, x - SLACK) == np.searchsorted(at, x + SLACK, "right")
+    long = parts.hi[rows] - parts.lo[rows] >= LEAST_SPAN
+    ahead = long & (parts.to_edge[rows] > 0) & (parts.hi[rows] < it.start[item[p] + 1] - 2) & none(starts, hi)
+    behind = long & (parts.from_edge[rows] > 0) & (parts.lo[rows] > it.start[item[p]] + 2) & none(ends, lo)
+    return _Reach(pairs, half, full, ahead, behind)
 
 
 def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
@@ -363,73 +427,78 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
         return []
     src = np.repeat(at[which], count)
     post = it.post[np.repeat(it.post_at[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    item = it.item[post]
-    pair = f.page[src].astype(np.int64) * len(it.ids) + item
+    pair = f.page[src].astype(np.int64) * len(it.ids) + it.item[post]
     _, inverse, hits = np.unique(pair, return_inverse=True, return_counts=True)
     keep = hits[inverse] >= SEEDS
-    src, post, item, pair = src[keep], post[keep], item[keep], pair[keep]
+    src, post, pair = src[keep], post[keep], pair[keep]
     if not len(src):
         return []
     # parts of pieces: long pieces are cut every PART characters
     piece_start = np.flatnonzero(np.r_[True, np.diff(f.piece) != 0])
     piece_of = np.searchsorted(piece_start, np.arange(len(f.char)), "right") - 1
     piece_end = np.r_[piece_start[1:], len(f.char)]
+    piece_page = f.page[piece_start]
     part_begin = piece_start[piece_of[src]] + (src - piece_start[piece_of[src]]) // PART * PART
     # the offset most seeds of a part agree on
     offset = post - (src - part_begin)
-    key = np.stack([pair, part_begin, offset])
-    uniq, votes = np.unique(key, axis=1, return_counts=True)
-    order = np.lexsort((-votes, uniq[1], uniq[0]))
-    uniq = uniq[:, order]
-    lead = np.flatnonzero(np.r_[True, (np.diff(uniq[0]) != 0) | (np.diff(uniq[1]) != 0)])
-    pair, begin, offset = uniq[:, lead]
-    found: dict[int, dict[tuple[int, int], np.ndarray]] = defaultdict(dict)
+    order = np.lexsort((offset, part_begin, pair))
+    key = np.stack([pair[order], part_begin[order], offset[order]])
+    first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+    votes, key = np.diff(np.r_[first, key.shape[1]]), key[:, first]
+    order = np.lexsort((-votes, key[1], key[0]))
+    key = key[:, order]
+    pair, begin, offset = key[:, np.flatnonzero(np.r_[True, (np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)])]
+    parts = _Parts()
     tried: set[tuple[int, int, int]] = set()
+    have: set[tuple[int, int]] = set()
     result: dict[int, int] = {}
     least = it.least_chars(run_words)
-    for rounds in range(ROUNDS):
-        if not len(pair):
-            break
+    while len(pair):  # ends: no place is tried twice with one offset
         size = np.minimum(piece_end[piece_of[begin]] - begin, PART)
         order = np.argsort(size, kind="stable")  # parts of like length are padded little
         pair, begin, offset, size = pair[order], begin[order], offset[order], size[order]
-        touched = set()
-        for lo in range(0, len(pair), 2048):
-            sl = slice(lo, lo + 2048)
-            for p, b, where in zip(pair[sl].tolist(), begin[sl].tolist(), _align(it, f, begin[sl], size[sl], pair[sl] % len(it.ids), offset[sl])):
-                if where is not None:
-                    found[p][(int(piece_of[b]), b)] = where
-                    touched.add(p)
-        fresh: dict[tuple[int, int, int], None] = {}
-        for p in touched:
-            parts, i = found[p], p % len(it.ids)
-            spans = {}
-            for k, w in parts.items():
-                m = np.flatnonzero(w >= 0)
-                spans[k] = (int(w[m[0]]), int(w[m[-1]]) + 1, m[0] <= EDGE, min(int(piece_end[k[0]]) - k[1], PART) - 1 - m[-1] <= EDGE)
-            together = _together(spans.values())
-            if together < 0.5 * least[i]:
-                continue
-            if together >= least[i]:
-                run = _longest_run(it, i, [(piece, b, min(int(piece_end[piece]) - b, PART), w) for (piece, b), w in parts.items()], f, least[i])
-                result[p] = max(run, result.get(p, 0))
-                if run >= run_words:
-                    continue
-            starts, ends = [x[0] for x in spans.values()], [x[1] for x in spans.values()]
-            for (piece, b), (lo, hi, from_edge, to_edge) in spans.items():
-                if hi - lo < LEAST_SPAN:
-                    continue
-                if to_edge and hi < it.start[i + 1] - 2 and not any(abs(x - hi) <= SLACK for x in starts):
-                    ahead = [b + PART] if b + PART < piece_end[piece] else [int(piece_start[q]) for q in range(piece + 1, min(piece + REACH + 1, len(piece_start))) if f.page[piece_start[q]] == p // len(it.ids)]
-                    fresh.update(((p, x, hi), None) for x in ahead if (int(piece_of[x]), x) not in parts)
-                if from_edge and lo > it.start[i] + 2 and not any(abs(x - lo) <= SLACK for x in ends):
-                    for q in range(piece - 1, max(piece - REACH - 1, -1), -1):
-                        x, n = int(piece_start[q]), int(piece_end[q] - piece_start[q])
-                        if f.page[x] != p // len(it.ids):
-                            break
-                        if n <= PART and (q, x) not in parts:
-                            fresh[(p, x, lo - n)] = None
-        new = [k for k in fresh if k not in tried]
+        done = len(parts.where)
+        touched = [_align(it, f, parts, pair[lo : lo + 2048], piece_of[begin[lo : lo + 2048]], begin[lo : lo + 2048], size[lo : lo + 2048], offset[lo : lo + 2048]) for lo in range(0, len(pair), 2048)]
+        have.update(zip(parts.pair[done:].tolist(), parts.begin[done:].tolist()))
+        rows = np.flatnonzero(np.isin(parts.pair, np.unique(np.concatenate(touched))))
+        if not len(rows):
+            break
+        rows = rows[np.argsort(parts.pair[rows], kind="stable")]
+        r = _reach(it, parts, rows, least, run_words)
+        bounds = np.searchsorted(parts.pair[rows], r.pairs)
+        bounds = np.r_[bounds, len(rows)]
+        open_ = r.half.copy()
+        for k in np.flatnonzero(r.full):
+            p = int(r.pairs[k])
+            run = _longest_run(it, p % len(it.ids), rows[bounds[k] : bounds[k + 1]], parts, f, least[p % len(it.ids)])
+            result[p] = max(run, result.get(p, 0))
+            open_[k] = run < run_words
+        on = np.repeat(open_, np.diff(bounds))
+        fresh: dict[tuple[int, int], tuple[int, int]] = {}  # of a place that several parts point to, the nearest part's offset
+
+        def propose(p: int, y: int, offset: int, far: int) -> None:
+            if (p, y) not in have and (p, y, offset) not in tried and fresh.get((p, y), (REACH + 1, 0))[0] > far:
+                fresh[p, y] = far, offset
+
+        for x in np.flatnonzero(on & (r.ahead | r.behind)):
+            row = rows[x]
+            p, piece, b, lo, hi = (int(parts.columns[c][row]) for c in ("pair", "piece", "begin", "lo", "hi"))
+            page = p // len(it.ids)
+            if r.ahead[x] and b + PART < piece_end[piece]:
+                propose(p, b + PART, hi, 0)
+            elif r.ahead[x]:
+                for q in range(piece + 1, min(piece + REACH + 1, len(piece_start))):
+                    if piece_page[q] != page:
+                        break
+                    propose(p, int(piece_start[q]), hi, q - piece)
+            if r.behind[x]:
+                for q in range(piece - 1, max(piece - REACH - 1, -1), -1):
+                    y, n = int(piece_start[q]), int(piece_end[q] - piece_start[q])
+                    if piece_page[q] != page:
+                        break
+                    if n <= PART:
+                        propose(p, y, lo - n, piece - q)
+        new = [(p, y, offset) for (p, y), (_, offset) in fresh.items()]
         tried.update(new)
         pair, begin, offset = (np.array(x, np.int64) for x in zip(*new)) if new else (np.empty(0, np.int64),) * 3
     return [(p // len(it.ids), p % len(it.ids), run) for p, run in result.items() if run >= run_words]

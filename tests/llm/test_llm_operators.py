@@ -421,3 +421,27 @@ def test_model_probabilities_sum_to_one():
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ["en", "EN", "en-GB", "deu", "de_AT", "xx", "und", "unknown", "", None, " FR "]], "l string")
     assert [r["x"] for r in df.select(language.named_language(F.col("l")).alias("x")).collect()] == ["en", "en", "en", "de", "de", None, None, None, None, None, "fr"]
+
+
+def _leaked(pages, items, **kw):
+    from palimpsest.llm import leakage
+
+    it = leakage.Items(list(range(len(items))), items)
+    it.choose(np.zeros(len(it.keys), np.int64))
+    return sorted((p, i) for p, i, _ in leakage.leaks_in(it, pages, **kw))
+
+
+def test_leaks_of_near_copies_other_scripts_and_separator_characters():
+    base = "the quiet ferry left harbour before seven bells while {} keepers watched amber lanterns drift along the stone pier"
+    copies = [base.format(w) for w in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()]
+    assert (0, 3) in _leaked([copies[3]], copies)
+    rng = np.random.default_rng(5)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, 200))
+    assert _leaked(["x " + han[40:120] + " y", han[100:105]], [han]) == [(0, 0)]
+    kana = " ".join("".join(chr(0x3042 + int(x)) for x in rng.integers(0, 60, 5)) for _ in range(30))
+    assert _leaked([kana[20:140]], [kana]) == [(0, 0)]
+    # a private-use character inside a page does not shift the pages after it
+    assert _leaked(["noise  and more  noise", "before " + copies[0] + " after"], copies[:1]) == [(1, 0)]
+    # letters written as one sign, and wide letters
+    plain = "five fine officers find fifty fishes fitting first in fixed figures finally filed fiercely"
+    assert _leaked([plain.replace("fi", "\ufb01"), "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in plain)], [plain]) == [(0, 0), (1, 0)]
