@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import clock, text, vector
 from palimpsest.functions.payload import decoded_text
-from palimpsest.operators import entities, history, kg, lifecycle, metrics, recall, skew, vectors
+from palimpsest.operators import ann, entities, history, kg, lifecycle, metrics, recall, skew, vectors
 from palimpsest.plans import recall_sql
 from palimpsest.session import cut
 from palimpsest.sources import checkpoints
@@ -70,6 +70,25 @@ def vector_topk_per_epoch(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "epoch_id", "atom_id", F.round("sim", 6).alias("sim"), F.col("epoch_rank").cast("long").alias("epoch_rank"))
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    path = epochs.work_folder(spark)
+    dim = int(table(spark, d, "store_metadata").first()["dim"])
+    ann.build_index(_all_atoms(spark, d), path, dim)
+    return path
+
+
+def epoch_ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest atoms of every epoch from a stored index, visiting the leaves that its calibration asks for."""
+    found = ann.search(spark, _index(spark, d), _asked(spark, d))
+    return found.select("query_id", "epoch_id", "atom_id", F.round("sim", 6).alias("sim"), F.col("epoch_rank").cast("long").alias("epoch_rank"))
+
+
+def epoch_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all leaves visited, which is exact."""
+    found = ann.search(spark, _index(spark, d), _asked(spark, d), widen=float("inf"))
+    return found.select("query_id", "epoch_id", "atom_id", F.round("sim", 6).alias("sim"), F.col("epoch_rank").cast("long").alias("epoch_rank"))
+
+
 def candidate_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of every recall candidate, 0 where it is undefined."""
     pairs = table(spark, d, "recall_candidates").select("query_id", "atom_id").distinct()
@@ -377,7 +396,7 @@ def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = [
     p4_found, p4_entities, p4_atoms, p7_found,
-    vector_normalize, vector_dim_check, vector_topk, vector_topk_per_epoch, candidate_cosine, int8_dequant,
+    vector_normalize, vector_dim_check, vector_topk, vector_topk_per_epoch, epoch_ann_topk, epoch_index_topk, candidate_cosine, int8_dequant,
     entity_index, entity_merge, entity_degree, broad_entities, distinct_entities, entity_lookup, entity_seed, bootstrap_entities,
     hop_n, known_entities, recall_ranks, recall_scores, recall_fused, access_bumps, payload_dedup, superseded_flags, active_state,
     clean_text, tokenize, extract_entities_exact, extract_entities_predicate, extract_entities, capitalized_entities, rule_triples,
@@ -425,6 +444,7 @@ _SQL |= {
     "vector_dim_check": "SELECT id, len(embedding) AS dim FROM atoms, store_metadata WHERE len(embedding) <> store_metadata.dim",
     "vector_topk": _TOPK + " SELECT query_id, atom_id, round(sim, 6) AS sim, rank FROM t WHERE rank <= k",
     "vector_topk_per_epoch": _POOLS + " SELECT query_id, epoch_id, atom_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id, epoch_id ORDER BY pool.sim DESC, atom_id) AS epoch_rank FROM pool",
+    "epoch_index_topk": _POOLS.replace("FROM a0 WHERE len(embedding) > 0", "FROM a0 WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0") + " SELECT query_id, coalesce(epoch_id, '') AS epoch_id, atom_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id, epoch_id ORDER BY pool.sim DESC, atom_id) AS epoch_rank FROM pool",
     "candidate_cosine": f"WITH p AS (SELECT DISTINCT query_id, atom_id FROM recall_candidates) SELECT query_id, atom_id, round(coalesce(CASE WHEN len(a.embedding) = len(q.query_emb) AND isfinite(list_sum(list_transform(a.embedding, lambda x: abs(x::DOUBLE)))) THEN {recall_sql._SIM} END, 0.0), 6) AS sim FROM p JOIN recall_queries q USING (query_id) JOIN atoms a ON a.id = p.atom_id",
     "int8_dequant": "SELECT id, len(embedding) AS dim, true AS within FROM atoms WHERE len(embedding) > 0 AND NOT isnan(list_sum(embedding))",
     "entity_index": "SELECT DISTINCT entity, id AS atom_id, epoch_id FROM (SELECT id, epoch_id, unnest([t.subj, t.pred, t.obj]) AS entity FROM (SELECT id, epoch_id, unnest(triples) AS t FROM atoms)) WHERE entity <> ''",
