@@ -37,7 +37,12 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Queries: the rows whose id's hash is divisible by 50; searched over all rows."""
     atoms = table(spark, d, "atoms")
     asked = atoms.where(F.pmod(F.crc32("id"), F.lit(50)) == 0).select(F.col("id").alias("rec"))
-    return neighbours.neighbours(atoms, _dim(spark, d), k=5, recall=0.95, queries=asked).withColumn("similarity", F.round("similarity", 2))
+    return neighbours.neighbours(atoms, _dim(spark, d), k=5, recall=0.95, queries=asked).withColumn("similarity", F.round("similarity", 6))
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the search, on queries that took no part in its calibration."""
+    return neighbours.measured(table(spark, d, "atoms"), _dim(spark, d), k=5, recall=0.95)
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +113,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p3_found, p3_redacted, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p2_recall, p3_found, p3_redacted, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
 
 
 _P1_CANON = r"""

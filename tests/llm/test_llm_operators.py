@@ -445,3 +445,40 @@ def test_leaks_of_near_copies_other_scripts_and_separator_characters():
     # letters written as one sign, and wide letters
     plain = "five fine officers find fifty fishes fitting first in fixed figures finally filed fiercely"
     assert _leaked([plain.replace("fi", "\ufb01"), "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in plain)], [plain]) == [(0, 0), (1, 0)]
+
+
+def test_leaves_have_trees_of_their_own_where_they_are_large(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "UPPER_LEAF", 20)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.4
+    df = spark.createDataFrame([(f"v{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, embedding array<float>")
+    row = neighbours.measured(df, 16, 5, 0.97, fit_rows=100).first()
+    assert row["queries"] > 900 and row["recall"] >= 0.93
+    found = neighbours.neighbours(df, 16, 5, recall=0.97, fit_rows=100)
+    assert found.groupBy("rec").count().where("count > 5").count() == 0
+
+
+def test_leaves_stay_small_at_a_billion_rows():
+    from palimpsest.operators.ann import fit_tree
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    upper = fit_tree(x, 10**9)
+    lower = fit_tree(x, 10**9 // upper.leaves)
+    assert 10**9 / (upper.leaves * lower.leaves) <= 1_000
+
+
+def test_too_few_true_pairs_do_not_open_all_leaves(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(f"v{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, embedding array<float>")
+    seen = []
+    real = neighbours._widening
+    neighbours._widening = lambda *a: seen.append(real(*a)) or seen[-1]
+    try:
+        assert neighbours.neighbours(df, 16, 5, least=0.999).count() == 0
+    finally:
+        neighbours._widening = real
+    assert seen and seen[0] < float("inf")
