@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redacted(table(spark, d, "atoms"), _personal(spark, d))
+    return personal.redacted(table(spark, d, "atoms"), personal.text_spans(table(spark, d, "atoms")))
 
 
 SCORES = ["access", "created", "likeness"]

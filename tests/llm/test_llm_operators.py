@@ -482,3 +482,40 @@ def test_too_few_true_pairs_do_not_open_all_leaves(spark):
     finally:
         neighbours._widening = real
     assert seen and seen[0] < float("inf")
+
+
+def test_of_overlapping_spans_the_longest_stands_and_the_rest_is_kept():
+    from palimpsest.llm import personal
+
+    spans = [(0, "aaaaa", "phone"), (4, "b" * 16, "address"), (10, "ccccc", "phone"), (30, "dd", "email")]
+    assert personal.disjoint(spans) == [spans[1], spans[3]]
+    assert personal.disjoint([(0, "abcde", "x"), (4, "e", "y"), (10, "fghij", "z")]) == [(0, "abcde", "x"), (10, "fghij", "z")]
+    assert personal.disjoint([(5, "bbb", "x"), (0, "aaa", "x"), (5, "bbb", "x")]) == [(0, "aaa", "x"), (5, "bbb", "x")]
+
+
+def test_redaction_replaces_where_the_span_stands(spark):
+    from palimpsest.llm import personal
+
+    text = 'café "12345678" \U0001f600 order 99123456781, again 12345678'
+    at = text.index("12345678")
+    last = text.rindex("12345678")
+    spans = [(at, "12345678", "phone"), (last, "12345678", "phone")]
+    want = 'café "<PHONE>" \U0001f600 order 99123456781, again <PHONE>'
+    for payload in (json.dumps(text), json.dumps(text, ensure_ascii=False), " " + json.dumps({"role": "12345678", "content": text, "turn": [1, "x"]}), json.dumps({"content": text, "z": "12345678"}, ensure_ascii=False)):
+        out = personal.spliced(payload, text, spans)
+        assert json.loads(out) == (want if isinstance(json.loads(payload), str) else {**json.loads(payload), "content": want})
+        assert len(payload) - len(out) == 2
+    assert personal.spliced(text, text, spans) == want
+    assert personal.spliced(json.dumps({"content": {"tel": "12345678"}}), '{"tel":"12345678"}', [(8, "12345678", "phone")]).count("12345678") in (0, 1)
+    rows = spark.createDataFrame([("a", json.dumps("call 12345678 now")), ("a", "other"), ("b", None), ("c", "")], ATOM)
+    found = spark.createDataFrame([("call 12345678 now", 5, "12345678", "phone")], "t string, start int, span string, kind string").select(F.md5("t").alias("digest"), "start", "span", "kind")
+    got = sorted(((r["id"], r["redacted"]) for r in personal.redacted(rows, found).collect()), key=str)
+    assert got == sorted([("a", '"call <PHONE> now"'), ("a", "other"), ("b", None), ("c", "")], key=str)
+
+
+def test_words_before_a_place_have_no_window():
+    from palimpsest.llm import personal
+
+    text = "passport " + "x" * 300 + " " + "y" * 400 + " " + "z" * 50 + " 12345678"
+    assert [len(w) for w in personal._cue_words(text, text.index("12345678"))] == [300, 400, 50]
+    assert personal._name_anchors("Dr. " + " " * 200 + "Anna Berg left") == ["anna", "berg"]
