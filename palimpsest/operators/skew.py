@@ -101,16 +101,23 @@ def running_total(laid: DataFrame, keys: list[str], order: list[Column], value:
 def competition_rank(df: DataFrame, keys: list[str], scores: dict[str, str]) -> DataFrame:
     """For each score, 1 + the number of rows of the same key that are strictly better (greater).
 
-    ``scores`` maps a score column to the name of its rank column. Ties are
-    folded into levels with a count before anything is ordered, so neither a hot
-    key nor a hot value lands in one task. Null scores rank behind all others
-    and tie with each other.
+    ``scores`` maps a numeric score column to the name of its rank column. All
+    scores are ranked in one pass over unpivoted rows. Ties are folded into levels
+    with a count before anything is ordered, so neither a hot key nor a hot value
+    lands in one task. Null scores rank behind all others and tie with each other.
     """
-    for score, out in scores.items():
-        levels = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
-        order = [F.col(score).desc_nulls_last()]
-        total = running_total(range_laid(levels, keys, order), keys, order, F.col("_n"), "_upto")
-        ranks = total.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(score).alias("_score"), (F.col("_upto") - F.col("_n") + 1).alias(out))
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col(score).eqNullSafe(F.col("_score")))
-        df = df.join(ranks, same).drop("_score", *[f"_k{i}" for i in range(len(keys))])
+    whole = {s: df.schema[s].dataType.typeName() in ("byte", "short", "integer", "long") for s in scores}
+    none = F.lit(None)
+    as_long = lambda s: (F.col(s) if whole[s] else none).cast("long")
+    as_double = lambda s: (none if whole[s] else F.col(s)).cast("double")
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), as_long(s).alias("_l"), as_double(s).alias("_d")) for i, s in enumerate(scores)]))
+    levels = df.select(*keys, one.alias("_e")).select(*keys, "_e.*").groupBy(*keys, "_k", "_l", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col("_l").desc_nulls_last(), F.col("_d").desc_nulls_last()]
+    within = [*keys, "_k"]
+    total = cut(running_total(range_laid(levels, within, order), within, order, F.col("_n"), "_upto").drop("_part"))
+    for i, (score, out) in enumerate(scores.items()):
+        value = "_l" if whole[score] else "_d"
+        ranks = total.where(F.col("_k") == i).select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col(value).alias("_score"), (F.col("_upto") - F.col("_n") + 1).alias(out))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)], F.col(score).eqNullSafe(F.col("_score")))
+        df = df.join(ranks, same).drop("_score", *[f"_k{j}" for j in range(len(keys))])
     return df
