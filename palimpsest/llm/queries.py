@@ -12,16 +12,20 @@ from palimpsest.llm import identical, language, leakage, neighbours, personal, r
 from palimpsest.sources.tables import table
 
 
-def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+def _classes(spark: SparkSession, d: str) -> DataFrame:
     return identical.formatting_classes(table(spark, d, "atoms"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d).drop("class_key")
+
+
 def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return identical.collapsed(p1_classes(spark, d))
+    return identical.collapsed(_classes(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return identical.pairs_within(p1_classes(spark, d))
+    return identical.pairs_within(_classes(spark, d))
 
 
 def _dim(spark: SparkSession, d: str) -> int:
@@ -60,15 +64,23 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 SCORES = ["access", "created", "likeness"]
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.recall_scores(table(spark, d, "atoms"), table(spark, d, "recall_queries"), table(spark, d, "recall_candidates"))
+
+
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
-    scores = ranking.recall_scores(table(spark, d, "atoms"), table(spark, d, "recall_queries"), table(spark, d, "recall_candidates"))
-    return ranking.fused_ranking(scores, "query_id", "atom_id", SCORES)
+    placed = ranking.fused_ranking(_scores(spark, d), "query_id", "atom_id", SCORES)
+    return placed.withColumn("likeness", F.round("likeness", 6)).withColumn("projection", F.round("projection", 6))
+
+
+def p5_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the scores, and whether each agrees with its declared direction."""
+    return ranking.loadings(_scores(spark, d), "query_id", "atom_id", SCORES).withColumn("loading", F.round("loading", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Heads on every score: fewer than 5 candidates are strictly better."""
-    ranked = p5_ranking(spark, d)
-    return ranked.where(" and ".join(f"{s}_rank <= 5" for s in SCORES)).select("query_id", "atom_id")
+    return ranking.heads(_scores(spark, d), "query_id", "atom_id", SCORES, 5)
 
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +125,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p2_recall, p3_found, p3_redacted, p5_found, p5_ranking, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_collapsed, p2_found, p2_neighbours, p2_recall, p3_found, p3_redacted, p5_found, p5_ranking, p5_loadings, p6_found, p6_classes, p8_ids, p9_found, p9_leaks, p9_items, p10_found, p10_passages)}
 
 
 _P1_CANON = r"""
@@ -136,6 +148,25 @@ g AS (SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b W
 _COSINE = "CASE WHEN len(a.embedding) = len(q.query_emb) AND list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) > 0 THEN list_dot_product(a.embedding::DOUBLE[], q.query_emb::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.query_emb::DOUBLE[], q.query_emb::DOUBLE[])) END"
 
 
+_P5 = f"""
+WITH RECURSIVE p AS (SELECT DISTINCT query_id, atom_id FROM recall_candidates WHERE query_id IS NOT NULL AND atom_id IS NOT NULL),
+s AS (SELECT p.query_id, p.atom_id, coalesce(a.access_count, 0) AS access, epoch_us(a.created_at) AS created, {_COSINE} AS c
+  FROM p JOIN atoms a ON a.id = p.atom_id JOIN recall_queries q ON q.query_id = p.query_id),
+f AS (SELECT *, CASE WHEN isnan(c) THEN NULL ELSE c END AS likeness FROM s),
+r AS (SELECT query_id, atom_id, access, created, likeness, rank() OVER (PARTITION BY query_id ORDER BY access DESC) AS ra,
+  rank() OVER (PARTITION BY query_id ORDER BY created DESC NULLS LAST) AS rb,
+  rank() OVER (PARTITION BY query_id ORDER BY likeness DESC NULLS LAST) AS rc, count(*) OVER (PARTITION BY query_id) AS n FROM f)"""
+
+# the first eigenvector of the 3 x 3 correlation matrix, by squaring the matrix again and again
+_P5_WEIGHTS = """,
+u AS (SELECT *, 1 - (ra - 1) / n AS x, 1 - (rb - 1) / n AS y, 1 - (rc - 1) / n AS z FROM r),
+m(k, a, b, c, d, e, f) AS (SELECT 0, 1.0::DOUBLE, corr(x, y), corr(x, z), 1.0::DOUBLE, corr(y, z), 1.0::DOUBLE FROM u
+  UNION ALL SELECT k + 1, (a*a + b*b + c*c) / t, (a*b + b*d + c*e) / t, (a*c + b*e + c*f) / t, (b*b + d*d + e*e) / t, (b*c + d*e + e*f) / t, (c*c + e*e + f*f) / t
+    FROM (SELECT *, a*a + d*d + f*f + 2 * (b*b + c*c + e*e) AS t FROM m) WHERE k < 40),
+v AS (SELECT CASE WHEN a >= d AND a >= f THEN [a, b, c] WHEN d >= f THEN [b, d, e] ELSE [c, e, f] END AS v FROM m WHERE k = 40),
+w AS (SELECT v[1] / l AS x0, v[2] / l AS x1, v[3] / l AS x2 FROM (SELECT v, sqrt(list_dot_product(v, v)) * CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END AS l FROM v))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1_CANON + " SELECT a.id AS id_a, b.id AS id_b FROM r a JOIN r b ON a.canon = b.canon AND a.id < b.id",
@@ -148,13 +179,11 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT x, y FROM s WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
             SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
         "p6_found": _P6_PAIRS + " SELECT id_a, id_b FROM g LEFT JOIN r a ON a.id = id_a LEFT JOIN r b ON b.id = id_b WHERE a.canon IS DISTINCT FROM b.canon",
-        "p5_found": f"""
-            WITH p AS (SELECT DISTINCT query_id, atom_id FROM recall_candidates WHERE query_id IS NOT NULL AND atom_id IS NOT NULL),
-            s AS (SELECT p.query_id, p.atom_id, coalesce(a.access_count, 0) AS access, a.created_at, {_COSINE} AS c
-              FROM p JOIN atoms a ON a.id = p.atom_id JOIN recall_queries q ON q.query_id = p.query_id),
-            f AS (SELECT *, CASE WHEN isnan(c) THEN NULL ELSE c END AS likeness FROM s),
-            r AS (SELECT query_id, atom_id, rank() OVER (PARTITION BY query_id ORDER BY access DESC) AS ra,
-              rank() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST) AS rb,
-              rank() OVER (PARTITION BY query_id ORDER BY likeness DESC NULLS LAST) AS rc FROM f)
-            SELECT query_id, atom_id FROM r WHERE ra <= 5 AND rb <= 5 AND rc <= 5""",
+        "p5_found": _P5 + " SELECT query_id, atom_id FROM r WHERE ra <= 5 AND rb <= 5 AND rc <= 5",
+        "p5_ranking": _P5 + _P5_WEIGHTS + """
+            SELECT query_id, atom_id, access, created, round(likeness, 6) AS likeness, ra AS access_rank, rb AS created_rank, rc AS likeness_rank, round(p, 6) AS projection,
+              row_number() OVER (PARTITION BY query_id ORDER BY p DESC, atom_id) AS position
+            FROM (SELECT u.*, round(x * w.x0 + y * w.x1 + z * w.x2, 9) AS p FROM u, w)""",
+        "p5_loadings": _P5 + _P5_WEIGHTS + """
+            SELECT 'access' AS score, round(x0, 6) AS loading, x0 >= 0 AS agrees FROM w UNION ALL SELECT 'created', round(x1, 6), x1 >= 0 FROM w UNION ALL SELECT 'likeness', round(x2, 6), x2 >= 0 FROM w""",
     }

@@ -16,6 +16,10 @@ from palimpsest.operators.skew import competition_rank, range_laid, running_tota
 from palimpsest.session import cut
 
 
+#: Digits of a projection that count.
+DIGITS = 9
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double; null where lengths differ, a vector is zero or a value is not finite."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,15 +28,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def first_component(ranked: DataFrame, columns: list[str]) -> list[float]:
-    """Loadings of the first principal component of the columns' correlation matrix, each turned positive.
+    """Loadings of the first principal component of the columns' correlation matrix.
 
     The moments are one distributed aggregate; only a matrix of
     ``len(columns)`` squared reaches the driver. The declared direction of
-    every column is "greater is better". A component cannot hold that for all
-    columns if some correlate negatively: the sign is chosen so that the loadings
-    agree with the declared directions in sum, and a loading that still
-    disagrees counts as zero. A column without spread has no weight; if none is
-    left, all weigh the same.
+    every column is "greater is better". The component's sign is chosen so that its
+    loadings agree with the declared directions in sum; where columns correlate
+    negatively one loading or more still opposes its direction, and stands as it
+    is (:func:`loadings` reports it). A column without spread has no weight; if
+    none is left, all weigh the same.
     """
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = ranked.agg(
@@ -56,10 +60,24 @@ def first_component(ranked: DataFrame, columns: list[str]) -> list[float]:
     values, vectors = np.linalg.eigh(corr)
     v = vectors[:, -1]
     v = v if v.sum() >= 0 else -v
-    v = np.where(v > 0, v, 0.0)
     return [float(x) for x in v / np.linalg.norm(v)]
 
 
+def _ranked(items: DataFrame, key: str, item: str, scores: list[str]) -> tuple[DataFrame, list[float]]:
+    """One row an item with ranks and, as ``_u0...``, the shares of the key's items that are not better; and the loadings."""
+    one = cut(items.groupBy(key, item).agg(*[F.max(s).alias(s) for s in scores]))
+    sizes = one.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = competition_rank(one, [key], {s: f"{s}_rank" for s in scores}).join(sizes, key)
+    ranked = cut(ranked.select("*", *[(1.0 - (F.col(f"{s}_rank") - 1) / F.col("_size")).alias(f"_u{i}") for i, s in enumerate(scores)]))
+    return ranked, first_component(ranked, [f"_u{i}" for i in range(len(scores))])
+
+
+def loadings(items: DataFrame, key: str, item: str, scores: list[str]) -> DataFrame:
+    """``score, loading, agrees``: the weights of the fused ranking, and whether each agrees with its declared direction."""
+    _, weights = _ranked(items, key, item, scores)
+    return items.sparkSession.createDataFrame([(s, w, w >= 0) for s, w in zip(scores, weights)], "score string, loading double, agrees boolean")
+
+
 def fused_ranking(items: DataFrame, key: str, item: str, scores: list[str]) -> DataFrame:
     """One order per ``key``: columns ``key, item, <score>_rank..., projection, position``.
 
@@ -69,18 +87,28 @@ def fused_ranking(items: DataFrame, key: str, item: str, scores: list[str]) -> D
     sum of those shares, and ties of the projection are ordered by item. Keys
     with very many items are spread over tasks throughout.
     """
-    one = cut(items.groupBy(key, item).agg(*[F.max(s).alias(s) for s in scores]))
-    sizes = one.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = competition_rank(one, [key], {s: f"{s}_rank" for s in scores}).join(sizes, key)
-    ranked = cut(ranked.select("*", *[(1.0 - (F.col(f"{s}_rank") - 1) / F.col("_size")).alias(f"_u{i}") for i, s in enumerate(scores)]))
-    weights = first_component(ranked, [f"_u{i}" for i in range(len(scores))])
+    ranked, weights = _ranked(items, key, item, scores)
     projection = sum((F.col(f"_u{i}") * F.lit(w) for i, w in enumerate(weights[1:], 1)), F.col("_u0") * F.lit(weights[0]))
-    ranked = ranked.withColumn("projection", F.round(projection, 12))
+    ranked = ranked.withColumn("projection", F.round(projection, DIGITS))
     order = [F.col("projection").desc(), F.col(item).asc()]
     placed = running_total(range_laid(ranked, [key], order), [key], order, F.lit(1).cast("long"), "position")
     return placed.select(key, item, *scores, *[f"{s}_rank" for s in scores], "projection", "position")
 
 
+def heads(items: DataFrame, key: str, item: str, scores: list[str], most: int) -> DataFrame:
+    """``key, item``: items than which, on every score, fewer than ``most`` of the key's items are strictly better.
+
+    They are looked for where the projection is high: an item with all its shares
+    in the top has at least the projection of one that is ``most``-th everywhere
+    (opposing loadings: first). The ranks of what remains are then checked.
+    """
+    ranked, weights = _ranked(items, key, item, scores)
+    projection = sum((F.col(f"_u{i}") * F.lit(w) for i, w in enumerate(weights[1:], 1)), F.col("_u0") * F.lit(weights[0]))
+    lowest = F.lit(sum(weights)) - F.lit(sum(w for w in weights if w > 0) * (most - 1)) / F.col("_size")
+    high = ranked.where(projection >= lowest - F.lit(1e-9))
+    return high.where(" and ".join(f"`{s}_rank` <= {most}" for s in scores)).select(key, item)
+
+
 def recall_scores(atoms: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates with their scores: ``query_id, atom_id, access, created, likeness``.
 

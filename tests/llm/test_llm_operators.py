@@ -152,7 +152,7 @@ def test_fused_ranking(spark):
 def test_first_component_is_not_dominated_by_range(spark):
     rows = [(i / 50, (50 - i) / 50 if i % 7 else i / 50, i / 50) for i in range(50)]
     w = ranking.first_component(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
-    assert w[0] == pytest.approx(w[2]) and w[0] > 0 and w[1] >= 0
+    assert w[0] == pytest.approx(w[2]) and w[0] > 0 and w[1] < 0 and sum(w) > 0  # b opposes the others
     assert ranking.first_component(spark.createDataFrame([(1.0, 1.0)], "a double, b double"), ["a", "b"]) == pytest.approx([0.7071, 0.7071], abs=1e-3)
 
 
@@ -519,3 +519,30 @@ def test_words_before_a_place_have_no_window():
     text = "passport " + "x" * 300 + " " + "y" * 400 + " " + "z" * 50 + " 12345678"
     assert [len(w) for w in personal._cue_words(text, text.index("12345678"))] == [300, 400, 50]
     assert personal._name_anchors("Dr. " + " " * 200 + "Anna Berg left") == ["anna", "berg"]
+
+
+def test_repeated_ids_are_separate_records(spark):
+    df = spark.createDataFrame([("3", "hello"), ("3", "world"), ("4", "hello"), ("5", "x y"), ("5", "x y"), ("5", "X-Y")], ATOM)
+    classes = identical.formatting_classes(df)
+    assert sorted((r["rec"], r["class_id"], r["class_size"]) for r in classes.collect()) == [("3", "3", 1), ("3", "3", 2), ("4", "3", 2), ("5", "5", 3), ("5", "5", 3), ("5", "5", 3)]
+    assert pair_set(identical.pairs_within(classes)) == {("3", "4")}
+    assert sorted((r["class_id"], r["copies"]) for r in identical.collapsed(classes).collect()) == [("3", 1), ("3", 2), ("5", 3)]
+
+
+def test_fields_inside_a_value_stand_in_any_order(spark):
+    rows = [("a", '{"a":{"x":1,"y":[2,{"p":"Q","r":3}]},"b":2}'), ("b", '{"b": 2, "A": {"Y":[2,{"r":3,"P":"q"}], "X": 1}}'), ("c", '{"b":2,"a":{"x":1,"y":[2,{"p":"Q","r":4}]}}'), ("d", '{"a":"{not json","b":2}')]
+    df = spark.createDataFrame(rows, ATOM)
+    assert pair_set(identical.pairs_within(identical.formatting_classes(df))) == {("a", "b")}
+    keys = {r["id"]: bytes(r["k"]) for r in df.select("id", identical.formatting_key(F.col("payload")).alias("k")).collect()}
+    assert keys["a"] == keys["b"] and len(set(keys.values())) == 3
+
+
+def test_an_opposing_score_keeps_its_loading(spark):
+    rows = [("q", f"i{i:02d}", float(i), float(i * i), float(-i) + (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "query_id string, atom_id string, a double, b double, c double")
+    got = {r["score"]: (r["loading"], r["agrees"]) for r in ranking.loadings(df, "query_id", "atom_id", ["a", "b", "c"]).collect()}
+    assert got["a"][0] > 0.5 and got["b"][0] > 0.5 and got["c"][0] < -0.5 and [got[s][1] for s in "abc"] == [True, True, False]
+    assert ranking.heads(df, "query_id", "atom_id", ["a", "b", "c"], 40).count() == 40
+    assert {r["atom_id"] for r in ranking.heads(df, "query_id", "atom_id", ["a", "b"], 3).collect()} == {"i39", "i38", "i37"}
+    placed = {r["atom_id"]: r["position"] for r in ranking.fused_ranking(df, "query_id", "atom_id", ["a", "b", "c"]).collect()}
+    assert {placed[i] for i in ("i39", "i38", "i37")} == {1, 2, 3}
