@@ -1,24 +1,27 @@
 """Languages of pages and of their passages, by character language models.
 
-For every language an interpolated Kneser-Ney model of character 5-grams is
-fitted on a bounded sample of labelled pages, refitted without the lines that
-another language's model explains better. All languages share one sorted hash
+For every language that the labels name often enough an interpolated Kneser-Ney
+model of character 5-grams is fitted on a bounded sample of labelled pages,
+refitted without the lines that another language's model explains better. A
+label that does not explain held-out pages of its own is no language. All languages share one sorted hash
 array per order, with one column of log-probabilities a language, so that a
 character costs a few binary searches for all languages together. Words are
 scored once a worker. A line gets the language of the lowest length-normalised
 cross-entropy, weighed with the page's own mixture of languages; confidences are
-calibrated, and text that no model explains is rejected.
+calibrated on held-out pages, and text that no model explains, be it a page or
+a stretch of one, is rejected.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = 5
@@ -33,8 +36,16 @@ UNKNOWN = "und"
 #: Scored words a worker keeps before it starts anew.
 CACHE_WORDS = 400_000
 
-# Three-letter codes that labels use for two-letter ones.
-THREE_LETTERS = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it", "nld": "nl"}
+#: Labelled pages a language needs, and share of its held-out lines that its model must explain best.
+LEAST_PAGES, OWN_SHARE = 10, 0.5
+#: Characters of a line that can be rejected by itself.
+REJECT_CHARS = 12
+
+# Three-letter codes of libraries, where they differ from the standard's own.
+LIBRARY_CODES = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de",
+    "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
+}
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -43,13 +54,23 @@ _MARKS = re.compile(r"\s*[^\w\s][\W_]*")
 _BROKEN = re.compile(r"[-=¬­‐‑~]\s*$")
 
 
+_CODES: dict[str, str] = {}
+
+
+def language_codes() -> dict[str, str]:
+    """Two- and three-letter codes of the standard's languages, by the JVM's own table, to the two-letter code."""
+    if not _CODES:
+        locale = SparkSession.getActiveSession()._jvm.java.util.Locale
+        two = {str(c) for c in locale.getISOLanguages()} - {"iw", "in", "ji"}
+        three = {str(locale.forLanguageTag(c).getISO3Language()): c for c in two}
+        _CODES.update({**LIBRARY_CODES, **three, **{c: c for c in two}})
+    return _CODES
+
+
 def named_language(label: Column) -> Column:
     """The two-letter code a label names, or null: region and letter case are ignored, three-letter codes translated."""
     base = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    codes = F.create_map(*[F.lit(x) for kv in THREE_LETTERS.items() for x in kv])
-    known = F.array(*[F.lit(x) for x in sorted(THREE_LETTERS.values())])
-    two = F.coalesce(codes[base], base)
-    return F.when(F.array_contains(known, two), two)
+    return F.create_map(*[F.lit(x) for kv in sorted(language_codes().items()) for x in kv])[base]
 
 
 def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,47 +239,76 @@ def _goes_on(words: list[list[str]], marks: list[bool], i: int, j: int, before:
     return any(_interruption(words, marks, list(own)) <= PASSAGE_GAP for own in ways)
 
 
-def fit(pages: list[tuple[str, str]]) -> Models:
-    """Models from (language, text) pages: fitted, then refitted on the lines that their own language explains best."""
-    languages = sorted({lang for lang, _ in pages})
-    lines = [(languages.index(lang), ws) for lang, text in pages for ws in page_lines(text)[0] if ws]
-    models, scores, sizes = None, None, None
+def _fitted(lines: list[tuple[int, list[str]]], languages: list[str]) -> Models:
+    """Models fitted on (language number, words) lines, then refitted on the lines that their own language explains best."""
+    models = None
     for _ in range(2):
         kept = lines
         if models is not None:
-            best = scores.argmax(1)
+            best = _line_scores(models, [ws for _, ws in lines])[0].argmax(1)
             kept = [x for x, b in zip(lines, best) if x[0] == b]
-        words, weights = [], []
-        for i in range(len(languages)):
-            tally: dict[str, int] = {}
-            for lang, ws in kept:
-                if lang == i:
-                    for w in ws:
-                        tally[w] = tally.get(w, 0) + 1
-            words.append(list(tally)), weights.append(np.fromiter(tally.values(), np.float64, len(tally)))
-        models = _kneser_ney(words, weights, languages)
-        scores, sizes = _line_scores(models, [ws for _, ws in lines])
-    best = scores.argmax(1)
-    truth = np.array([x[0] for x in lines])
-    right = best == truth
-    entropy = -scores[np.arange(len(lines)), best] / np.maximum(sizes, 1)
-    if right.any():
-        models.reject = float(np.quantile(entropy[right], 1 - REJECT_SHARE)) + 1.0
-    # sharpness: the factor on log-probabilities under which the labels of the training lines are most likely
-    usable = np.isin(truth, np.unique(best)) & (sizes >= 10)
-    if usable.any():
-        s, t = scores[usable], truth[usable]
-        grid = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
-        loss = []
-        for g in grid:
-            z = g * (s - s.max(1, keepdims=True))
-            p = np.exp(z[np.arange(len(t)), t]) / np.exp(z).sum(1)
-            loss.append(-np.log(0.05 / len(languages) + 0.95 * p).mean())
-        models.sharpness = max(0.2, grid[int(np.argmin(loss))])
+        tallies: list[Counter] = [Counter() for _ in languages]
+        for lang, ws in kept:
+            tallies[lang].update(ws)
+        models = _kneser_ney([list(t) for t in tallies], [np.fromiter(t.values(), np.float64, len(t)) for t in tallies], languages)
     models._cache.clear(), models._rows.clear()
     return models
 
 
+def fit(pages: list[tuple[str, str]]) -> Models:
+    """Models from (language, text) pages.
+
+    Half of the pages is held out first: which labels are languages, how sharply
+    lines tell them apart, and from which cross-entropy on text is rejected, is
+    taken from models that did not see it. The models are then fitted on all
+    pages. A language of one page is neither tested nor calibrated with.
+    """
+    seen: Counter = Counter()
+    lines: list[tuple[str, int, list[str]]] = []
+    for lang, text in pages:
+        lines += [(lang, seen[lang] % 2, ws) for ws in page_lines(text)[0] if ws]
+        seen[lang] += 1
+    languages = sorted({lang for lang, _, _ in lines})
+    if not languages:
+        languages = sorted(seen)
+    number = {lang: i for i, lang in enumerate(languages)}
+    half = _fitted([(number[lang], ws) for lang, fold, ws in lines if fold == 0], languages) if lines else None
+    held = [(number[lang], ws) for lang, fold, ws in lines if fold == 1]
+    reject, sharpness, kept = Models.reject, Models.sharpness, languages
+    if held and half is not None:
+        truth = np.array([x[0] for x in held])
+        scores, sizes = _line_scores(half, [ws for _, ws in held])
+        tried = np.bincount(truth, minlength=len(languages))
+        good = np.ones(len(languages), bool)
+        while True:  # the label that explains least of its own goes first; the others are then judged without it
+            best = np.where(good, scores, -np.inf).argmax(1)
+            own = np.bincount(truth[best == truth], minlength=len(languages)) / np.maximum(tried, 1)
+            weak = np.flatnonzero(good & (tried > 0) & (own < OWN_SHARE))  # a language without held-out lines stays
+            if not len(weak) or good.sum() == 1:
+                break
+            good[min(weak, key=lambda i: (own[i], tried[i]))] = False
+        kept = [lang for lang, ok in zip(languages, good) if ok]
+        right = (best == truth) & good[truth] & (sizes >= REJECT_CHARS)
+        if right.any():
+            entropy = -scores[right, best[right]] / sizes[right]
+            reject = float(np.quantile(entropy, 1 - REJECT_SHARE)) + 1.0
+        # sharpness: the factor on log-probabilities under which the labels of the held-out lines are most likely
+        usable = good[truth] & (sizes >= 10)
+        if usable.any():
+            s, t = scores[usable], truth[usable]
+            grid = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
+            loss = []
+            for g in grid:
+                z = g * (s - s.max(1, keepdims=True))
+                p = np.exp(z[np.arange(len(t)), t]) / np.exp(z).sum(1)
+                loss.append(-np.log(0.05 / len(languages) + 0.95 * p).mean())
+            sharpness = max(0.2, grid[int(np.argmin(loss))])
+    number = {lang: i for i, lang in enumerate(kept)}
+    models = _fitted([(number[lang], ws) for lang, _, ws in lines if lang in number], kept)
+    models.reject, models.sharpness = reject, sharpness
+    return models
+
+
 def _line_scores(models: Models, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each line in each language, and the characters scored."""
     flat = [w for ws in lines for w in ws]
@@ -307,6 +357,8 @@ def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str
     entropy = -scores[np.arange(len(lines)), best] / chars
     sure = post[np.arange(len(lines)), best]
     words = np.fromiter(map(len, lines), np.int64, len(lines)) - np.array(glued)
+    best = np.where((entropy > models.reject) & (chars >= REJECT_CHARS), len(models.languages), best)
+    codes = [*models.languages, UNKNOWN]
     starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
     for lo, hi in zip(starts, np.r_[starts[1:], len(page)]):
         p = int(page[lo])
@@ -322,18 +374,20 @@ def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str
             ends = [k + 1 for k in far if not _goes_on(*pieces[p], at[k], at[k + 1], k > 0 and at[k] - at[k - 1] == 2, k + 2 < len(at) and at[k + 2] - at[k + 1] == 2)]
             for run in np.split(mine, ends):
                 c = chars[run]
-                out.append((p, models.languages[lang], float((sure[run] * c).sum() / c.sum()), int(words[run].sum()), number[run[0]], number[run[-1]], bool(lang == main)))
+                certain = float((sure[run] * c).sum() / c.sum())
+                out.append((p, codes[lang], certain if lang < len(models.languages) else 1 - certain, int(words[run].sum()), number[run[0]], number[run[-1]], bool(lang == main)))
     return out
 
 
 def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", pages: int = FIT_PAGES) -> Models | None:
     """Models fitted on at most ``pages`` labelled pages a language, chosen by a hash of their ids; None without any.
 
-    Their count is bounded (16 salted parts of ``pages // 16`` each), their texts are whole.
+    Their count is bounded (16 salted parts of ``pages // 16`` each), their texts
+    are whole. A language needs :data:`LEAST_PAGES` labelled pages of the whole corpus.
     """
-    from pyspark.sql import Window
-
     labelled = docs.select(F.col(id_col).alias("i"), named_language(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & (F.length("t") > 0))
+    often = [r["l"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("l").collect()]  # codes of the standard
+    labelled = labelled.where(F.col("l").isin(often))
     order = Window.partitionBy("l", "_s").orderBy("_h")
     # the choice is cut within 16 salted parts of each language first
     chosen = labelled.withColumn("_h", F.xxhash64("i")).withColumn("_s", F.pmod("_h", F.lit(16))).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, pages // 16))

@@ -546,3 +546,29 @@ def test_an_opposing_score_keeps_its_loading(spark):
     assert {r["atom_id"] for r in ranking.heads(df, "query_id", "atom_id", ["a", "b"], 3).collect()} == {"i39", "i38", "i37"}
     placed = {r["atom_id"]: r["position"] for r in ranking.fused_ranking(df, "query_id", "atom_id", ["a", "b", "c"]).collect()}
     assert {placed[i] for i in ("i39", "i38", "i37")} == {1, 2, 3}
+
+
+def _made_up(seed, letters, n=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n)]
+
+
+def test_languages_come_from_the_labels(spark):
+    """Any language that labels name often enough; a label that explains nothing of its own is none; strange stretches are rejected."""
+    rng = random.Random(8)
+    words = {"pt": _made_up(1, "aeiouãçlmnrst"), "pl": _made_up(2, "aeoyłżśćkwzr"), "en": _made_up(3, "aeiothndrsyw")}
+    page = lambda lang, n=8: "\n".join(" ".join(rng.choice(words[lang]) for _ in range(6)) for _ in range(n))
+    rows = [(lang, page(lang)) for lang in words for _ in range(24)]
+    labels = {"pt": ["pt", "por", "PT-br"], "pl": ["pl", "pol", "PL"], "en": ["en", "eng", "en_GB"]}
+    rows = [(i, text, labels[lang][i % 3]) for i, (lang, text) in enumerate(rows)]
+    rows += [(100 + i, page("en"), "sv") for i in range(12)]  # wrong labels
+    strange = "\n".join(" ".join("".join(rng.choice("ξψωφβγδ") for _ in range(6)) for _ in range(6)) for _ in range(8))
+    rows += [(200, page("pt"), "pl"), (201, page("pl"), None), (202, page("en", 6) + "\n" + strange + "\n" + page("en", 6), "xx"), (203, page("en"), "xx"), (204, page("en"), "fi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.fit_on(docs)
+    assert models.languages == ["en", "pl", "pt"] and models.reject < 20
+    found = language.passages(docs, models)
+    got = {(r["doc_id"], r["lang"]) for r in language.unnamed(docs, found).collect()}
+    assert got == {(200, "pt"), (201, "pl"), (202, "en"), (203, "en"), (204, "en")} | {(100 + i, "en") for i in range(12)}
+    mixed = {(r["lang"], r["first_line"]) for r in found.where("doc_id = 202").collect()}
+    assert ("und", 6) in mixed and ("en", 0) in mixed
