@@ -363,10 +363,12 @@ def detect_batch(models: Models, texts: list[str | None]) -> list[tuple[int, str
     for lo, hi in zip(starts, np.r_[starts[1:], len(page)]):
         p = int(page[lo])
         main = int(mix[p].argmax())
-        total = int(chars[lo:hi].sum())
-        if (entropy[lo:hi] * chars[lo:hi]).sum() / total > models.reject:
-            out.append((p, UNKNOWN, float(1 - sure[lo:hi].mean()), int(words[lo:hi].sum()), number[lo], number[hi - 1], True))
-            continue
+        read = lo + np.flatnonzero(best[lo:hi] < len(models.languages))
+        if len(read) and (entropy[read] * chars[read]).sum() / chars[read].sum() > models.reject:
+            best[read] = len(models.languages)  # short lines that only together can be rejected
+            main = len(models.languages)
+        elif not len(read):
+            main = len(models.languages)
         for lang in np.unique(best[lo:hi]):
             mine = lo + np.flatnonzero(best[lo:hi] == lang)
             at = [number[k] for k in mine]
