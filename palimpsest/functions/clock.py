@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,16 @@ def monotonic_micros(df: DataFrame, clock_us: str, seq: str, writer: str | None
     """Strictly increasing microseconds per writer: the clock, or one more than the last value if that is later.
 
     ``ts[i] = max(clock[i], ts[i-1] + 1)`` has the closed form
-    ``i + max over j <= i of (clock[j] - j)``, so a running maximum does it. A
-    writer's sequence is ordered by nature; writers are independent.
+    ``i + max over j <= i of (clock[j] - j)``, so a running count and a running
+    maximum do it, over range partitions: a busy writer, or all rows of the only
+    one, are spread over tasks.
     """
-    keys = [writer] if writer else []
-    order = Window.partitionBy(*keys).orderBy(seq)
-    n = F.row_number().over(order)
-    lag = df.withColumn("_n", n.cast("long")).withColumn("_d", F.col(clock_us) - F.col("_n"))
-    return lag.withColumn(out, F.col("_n") + F.max("_d").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_d")
+    from palimpsest.operators.skew import range_laid, running
+
+    keys, order = [writer] if writer else [], [F.col(seq).asc()]
+    laid = range_laid(df, keys, order)
+    counted = running(laid, keys, order, {"_n": F.lit(1).cast("long")}, F.sum)
+    return running(counted, keys, order, {"_m": F.col(clock_us) - F.col("_n")}, F.max).withColumn(out, F.col("_n") + F.col("_m")).drop("_n", "_m", "_part")
 
 
 def wall_micros(ts: str) -> Column:

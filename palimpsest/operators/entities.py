@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import cleaned, is_stop_entity, long_words
 
+#: Characters by which entities and texts are joined.
+HEAD = 8
+
 
 def mentioned(texts: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
     """``key, entity``: entities whose lower-case form is a substring of the cleaned text, stop entities left out.
 
-    All substrings up to the longest entity are equi-joined, so no text meets an
-    entity that it does not hold. Null texts mention nothing; an empty entity is
-    no entity.
+    Substrings of up to :data:`HEAD` characters are equi-joined with the heads of
+    the entities, so that a text gives rows in proportion to its length, and meets
+    only entities whose head it holds; longer ones are then looked for in the
+    text. Null texts mention nothing; an empty entity is no entity.
     """
-    names = entities.select("entity").where((F.col("entity") != "") & ~is_stop_entity(F.col("entity"))).distinct().withColumn("_low", F.lower("entity"))
-    longest = names.agg(F.max(F.length("_low")).alias("n")).first()["n"] or 0
+    names = entities.select("entity").where((F.col("entity") != "") & ~is_stop_entity(F.col("entity"))).distinct().withColumn("_low", F.lower("entity")).withColumn("_head", F.substring("_low", 1, HEAD))
     clean = texts.where(F.col(text).isNotNull()).select(key, cleaned(F.col(text)).alias("_c"))
-    begin = clean.select(key, "_c", F.explode(F.expr("sequence(1, greatest(length(_c), 1))")).alias("_i"))
-    parts = begin.select(key, F.explode(F.expr(f"transform(sequence(1, greatest(1, least({int(longest)}, length(_c) - _i + 1))), n -> substring(_c, _i, n))")).alias("_low")).where("_low <> ''").distinct()
-    return parts.join(names, "_low").select(key, "entity").distinct()
+    begin = clean.select(key, F.explode(F.expr(f"transform(sequence(1, greatest(length(_c), 1)), i -> substring(_c, i, {HEAD}))")).alias("_g")).where("_g <> ''").distinct()
+    heads = begin.select(key, F.explode(F.expr("transform(sequence(1, length(_g)), n -> substring(_g, 1, n))")).alias("_head")).distinct()
+    met = heads.join(names, "_head").select(key, "entity", "_low")
+    short = F.length("_low") <= HEAD
+    whole = met.where(~short).join(clean, key).where(F.contains("_c", F.col("_low")))
+    return met.where(short).select(key, "entity").unionByName(whole.select(key, "entity")).distinct()
 
 
 def hinted_predicates(texts: DataFrame, predicates: DataFrame, key: str, text: str) -> DataFrame:

@@ -37,13 +37,13 @@ def heavy_keys(df: DataFrame, keys: dict[str, Column], share: float) -> DataFram
     """Keys that hold at least ``share`` of all rows, with their row count and the total.
 
     Null and empty keys are never reported, but their rows are in the total.
-    The total is the sum of one kind's counts, so only counts are gathered, no rows.
+    The total is a count without columns, so the keys are read once.
     """
     counts = key_counts(df, keys)
-    totals = counts.groupBy("key_kind").agg(F.sum("n").alias("total"))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))  # one row
     return (
         counts.where(F.col("key_value").isNotNull() & (F.col("key_value") != ""))
-        .join(totals, "key_kind")
+        .join(total)
         .where(F.col("n") >= F.col("total") * F.lit(float(share)))
         .select("key_kind", "key_value", "n", "total")
     )
@@ -75,15 +75,15 @@ def range_laid(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def running(laid: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], fold: Callable[[str], Column], own: bool = True) -> DataFrame:
-    """Running ``fold`` (``F.sum`` or ``F.bit_or``) per key in ``order`` over :func:`range_laid` rows, without one task per key.
+    """Running ``fold`` (``F.sum``, ``F.bit_or`` or ``F.max``) per key in ``order`` over :func:`range_laid` rows, without one task per key.
 
     ``values`` maps new columns to what is folded; with ``own`` a row's own value
     is in. Inside a partition a window folds; what earlier partitions hold of the
     same key is folded in from a table with one row per (partition, key).
     """
     outs = list(values)
-    both = (lambda a, b: a + b) if fold is F.sum else (lambda a, b: a.bitwiseOR(b))
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = F.greatest if fold is F.max else (lambda a, b: a + b) if fold is F.sum else (lambda a, b: a.bitwiseOR(b))
+    zero = lambda c: c if fold is F.max else F.coalesce(c, F.lit(0))
     v = laid.withColumns({f"_v{o}": c for o, c in values.items()})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     part = v.groupBy("_part", *keys).agg(*[fold(f"_v{o}").alias(f"_s{o}") for o in outs])

@@ -12,7 +12,7 @@ from palimpsest.functions.payload import decoded_text
 from palimpsest.operators import ann, entities, history, kg, lifecycle, metrics, recall, skew, vectors
 from palimpsest.plans import recall_sql
 from palimpsest.session import cut
-from palimpsest.sources import checkpoints
+from palimpsest.sources import checkpoints, epoch_files
 from palimpsest.sources.tables import table
 from palimpsest.streaming import epochs
 
@@ -51,7 +51,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
     unit = vector.normalized(F.col("embedding"))
-    return _all_atoms(spark, d).select("id", F.size("embedding").cast("long").alias("dim"), F.round(vector.norm(unit), 5).alias("norm"))
+    return _all_atoms(spark, d).select("id", F.size("embedding").cast("long").alias("dim"), F.round(vector.norm(unit), 5).alias("norm"), (F.round(F.try_element_at(unit, F.lit(1)).cast("double"), 4) + F.lit(0.0)).alias("first"), (F.round(F.try_element_at(unit, F.lit(-1)).cast("double"), 4) + F.lit(0.0)).alias("last"))
 
 
 def vector_dim_check(spark: SparkSession, d: str) -> DataFrame:
@@ -99,19 +99,20 @@ def int8_dequant(spark: SparkSession, d: str) -> DataFrame:
     """Largest error of the INT8 round trip per atom stays below half a step."""
     q = table(spark, d, "atoms").where(F.size("embedding") > 0).where(F.forall("embedding", lambda x: ~F.isnan(x))).select("id", "embedding", vector.quantized(F.col("embedding")).alias("q"))
     err = F.array_max(F.zip_with(vector.dequantized(F.col("q.codes"), F.col("q.top")), F.col("embedding"), lambda a, b: F.abs(a - b)))
-    return q.select("id", F.size("q.codes").cast("long").alias("dim"), (err <= F.col("q.top") / 127 * 0.501).alias("within"))
+    codes = F.aggregate(F.transform("q.codes", lambda c: c.cast("long")), F.lit(0).cast("long"), lambda s, c: s + c)
+    return q.select("id", F.size("q.codes").cast("long").alias("dim"), codes.alias("code_sum"), (err <= F.col("q.top") / 127 * 0.501).alias("within"))
 
 
 # ---- entity index
 
 
 def entity_index(spark: SparkSession, d: str) -> DataFrame:
-    return kg.entity_index(table(spark, d, "atoms"))
+    return kg.entity_index(_all_atoms(spark, d))
 
 
 def entity_merge(spark: SparkSession, d: str) -> DataFrame:
     """The stored index with the rows derived from the triples, each once."""
-    return kg.merged_index(table(spark, d, "kg_index"), kg.entity_index(table(spark, d, "atoms")))
+    return kg.merged_index(table(spark, d, "kg_index"), kg.entity_index(_all_atoms(spark, d)))
 
 
 def entity_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +138,10 @@ def entity_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_entities(spark: SparkSession, d: str) -> DataFrame:
-    atoms, q = _all_atoms(spark, d), _asked(spark, d)
+    """Every active atom with a vector asks, naming no entity, for what its nearest active atoms are about."""
+    atoms = _all_atoms(spark, d)
+    asks = table(spark, d, "atoms").where((F.col("epoch_id") == "active") & (F.size("embedding") > 0))
+    q = cut(recall.prepared(asks.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_emb"), F.lit(1).alias("top_k"), F.lit(0).alias("expand_hops"), F.array().cast("array<string>").alias("query_entities"))))
     return recall.bootstrapped(recall.vector_pool(atoms, q), q, kg.subject_object(atoms))
 
 
@@ -188,12 +192,12 @@ def payload_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def superseded_flags(spark: SparkSession, d: str) -> DataFrame:
     """Atoms that a newer one supersedes, over the whole table."""
-    rows = table(spark, d, "atoms").select(F.col("id").alias("atom_id"), "created_at", "triples")
+    rows = _all_atoms(spark, d).select(F.col("id").alias("atom_id"), "created_at", "triples")
     return lifecycle.superseded(rows, [])
 
 
 def active_state(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.active_state(table(spark, d, "atoms"))
+    return lifecycle.active_state(_all_atoms(spark, d))
 
 
 # ---- text
@@ -248,11 +252,14 @@ def rule_triples(spark: SparkSession, d: str) -> DataFrame:
 def epoch_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Epochs with their number of atoms and the span they cover."""
     at = F.unix_micros("created_at")
-    return table(spark, d, "atoms").groupBy("epoch_id").agg(F.count(F.lit(1)).alias("atoms"), F.min(at).alias("first_us"), F.max(at).alias("last_us"))
+    return _all_atoms(spark, d).groupBy("epoch_id").agg(F.count(F.lit(1)).alias("atoms"), F.min(at).alias("first_us"), F.max(at).alias("last_us"))
 
 
 def epoch_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "atoms").where(F.col("epoch_id") == "active").select("id", "payload", F.size("triples").cast("long").alias("n_triples"))
+    """One epoch of a store written by epoch; the other directories are not read."""
+    path = f"{epochs.work_folder(spark)}/atoms"
+    epoch_files.write_epochs(_all_atoms(spark, d), path)
+    return epoch_files.read_epoch(spark, path, "active").select("id", "payload", F.size("triples").cast("long").alias("n_triples"))
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -313,10 +320,10 @@ def payload_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triples_json(spark: SparkSession, d: str) -> DataFrame:
-    """Triples written as JSON text and read back, null objects and special characters included."""
-    kind = "array<struct<subj:string,pred:string,obj:string>>"
-    back = F.from_json(F.to_json("triples", {"ignoreNullFields": "false"}), kind)
-    return table(spark, d, "atoms").select("id", F.posexplode(back).alias("pos", "t")).select("id", F.col("pos").cast("long").alias("pos"), "t.subj", "t.pred", "t.obj")
+    """Triples of old rows, JSON lists of lists of text, null objects and special characters included."""
+    listed = F.to_json(F.transform("triples", lambda t: F.array(t["subj"], t["pred"], t["obj"])))
+    old = table(spark, d, "atoms").withColumn("triples", listed).withColumn("created_at", F.unix_micros("created_at") / 1_000_000)
+    return epoch_files.decode_legacy(old).select("id", F.posexplode("triples").alias("pos", "t")).select("id", F.col("pos").cast("long").alias("pos"), "t.subj", "t.pred", "t.obj")
 
 
 # ---- agent checkpoints
@@ -440,21 +447,21 @@ _WAL = "WITH wal AS (SELECT event_id AS lsn, CASE WHEN event_id % 97 = 3 THEN 'R
 _NORM = "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
 
 _SQL |= {
-    "vector_normalize": f"WITH {recall_sql.ATOMS}, n AS (SELECT id, embedding, {_NORM} AS n FROM a0) SELECT id, len(embedding) AS dim, CASE WHEN isnan(n) THEN n WHEN n > 1e-10 THEN 1.0::DOUBLE ELSE round(n, 5) END AS norm FROM n",
+    "vector_normalize": f"WITH {recall_sql.ATOMS}, n AS (SELECT id, embedding, {_NORM} AS n FROM a0) SELECT id, len(embedding) AS dim, CASE WHEN isnan(n) THEN n WHEN n > 1e-10 THEN 1.0::DOUBLE ELSE round(n, 5) END AS norm, round((CASE WHEN n > 1e-10 THEN embedding[1]::DOUBLE / n ELSE embedding[1] END)::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS first, round((CASE WHEN n > 1e-10 THEN embedding[-1]::DOUBLE / n ELSE embedding[-1] END)::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS last FROM n",
     "vector_dim_check": "SELECT id, len(embedding) AS dim FROM atoms, store_metadata WHERE len(embedding) <> store_metadata.dim",
     "vector_topk": _TOPK + " SELECT query_id, atom_id, round(sim, 6) AS sim, rank FROM t WHERE rank <= k",
     "vector_topk_per_epoch": _POOLS + " SELECT query_id, epoch_id, atom_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id, epoch_id ORDER BY pool.sim DESC, atom_id) AS epoch_rank FROM pool",
     "epoch_index_topk": _POOLS.replace("FROM a0 WHERE len(embedding) > 0", "FROM a0 WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0") + " SELECT query_id, coalesce(epoch_id, '') AS epoch_id, atom_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id, epoch_id ORDER BY pool.sim DESC, atom_id) AS epoch_rank FROM pool",
     "candidate_cosine": f"WITH p AS (SELECT DISTINCT query_id, atom_id FROM recall_candidates) SELECT query_id, atom_id, round(coalesce(CASE WHEN len(a.embedding) = len(q.query_emb) AND isfinite(list_sum(list_transform(a.embedding, lambda x: abs(x::DOUBLE)))) THEN {recall_sql._SIM} END, 0.0), 6) AS sim FROM p JOIN recall_queries q USING (query_id) JOIN atoms a ON a.id = p.atom_id",
-    "int8_dequant": "SELECT id, len(embedding) AS dim, true AS within FROM atoms WHERE len(embedding) > 0 AND NOT isnan(list_sum(embedding))",
-    "entity_index": "SELECT DISTINCT entity, id AS atom_id, epoch_id FROM (SELECT id, epoch_id, unnest([t.subj, t.pred, t.obj]) AS entity FROM (SELECT id, epoch_id, unnest(triples) AS t FROM atoms)) WHERE entity <> ''",
-    "entity_merge": "SELECT entity, atom_id, epoch_id FROM kg_index WHERE entity <> '' UNION SELECT entity, id, epoch_id FROM (SELECT id, epoch_id, unnest([t.subj, t.pred, t.obj]) AS entity FROM (SELECT id, epoch_id, unnest(triples) AS t FROM atoms)) WHERE entity <> ''",
+    "int8_dequant": "SELECT id, len(embedding) AS dim, list_sum(list_transform(embedding, lambda x: CASE WHEN list_max(list_transform(embedding, lambda y: abs(y))) > 0 THEN round(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE * 127)::BIGINT ELSE 0 END))::BIGINT AS code_sum, true AS within FROM atoms WHERE len(embedding) > 0 AND NOT isnan(list_sum(embedding))",
+    "entity_index": f"WITH {recall_sql.ATOMS} SELECT DISTINCT entity, id AS atom_id, epoch_id FROM (SELECT id, epoch_id, unnest([t.subj, t.pred, t.obj]) AS entity FROM (SELECT id, epoch_id, unnest(triples) AS t FROM a0)) WHERE entity <> ''",
+    "entity_merge": f"WITH {recall_sql.ATOMS} SELECT entity, atom_id, epoch_id FROM kg_index WHERE entity <> '' UNION SELECT entity, id, epoch_id FROM (SELECT id, epoch_id, unnest([t.subj, t.pred, t.obj]) AS entity FROM (SELECT id, epoch_id, unnest(triples) AS t FROM a0)) WHERE entity <> ''",
     "entity_degree": "SELECT entity, count(*) AS degree FROM (SELECT DISTINCT * FROM kg_index WHERE entity <> '') GROUP BY entity",
     "broad_entities": "SELECT entity, count(*) AS degree FROM (SELECT DISTINCT * FROM kg_index WHERE entity <> '') GROUP BY entity HAVING count(*) > 5",
     "distinct_entities": "SELECT DISTINCT entity FROM kg_index WHERE entity <> ''",
     "entity_lookup": "SELECT q.query_id, e.entity, e.atom_id FROM (SELECT DISTINCT query_id, unnest(query_entities) AS entity FROM recall_queries) q JOIN (SELECT DISTINCT entity, atom_id FROM kg_index WHERE entity <> '') e USING (entity)",
     "entity_seed": "SELECT DISTINCT q.query_id, e.atom_id FROM (SELECT query_id, unnest(query_entities) AS entity FROM recall_queries) q JOIN kg_index e USING (entity) WHERE entity <> ''",
-    "bootstrap_entities": _POOLS + " SELECT query_id, entity FROM boot",
+    "bootstrap_entities": _POOLS.replace("FROM recall_queries)", "FROM (SELECT id AS query_id, embedding AS query_emb, 1 AS top_k, 0 AS expand_hops, []::VARCHAR[] AS query_entities FROM atoms WHERE epoch_id = 'active' AND len(embedding) > 0 AND isfinite(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))))))") + " SELECT query_id, entity FROM boot",
     "hop_n": recall_sql.CANDIDATES + f" SELECT query_id, atom_id, greatest(stage - 2, 0) AS min_hop FROM v{recall_sql.MAX_HOPS}",
     "known_entities": recall_sql.CANDIDATES + " SELECT query_id, entity FROM known",
     "recall_ranks": recall_sql.RANKED + " SELECT query_id, atom_id, round(sim, 6) AS sim, overlap, semantic_rank, recency_rank, entity_rank, boost, is_superseded, round(rrf, 12) AS rrf FROM z",
@@ -462,8 +469,8 @@ _SQL |= {
     "recall_fused": recall_sql.RANKED + ", d AS (SELECT atom_id, sum(coalesce(delta, 0)) AS delta FROM access_deltas GROUP BY atom_id) SELECT z.query_id, z.position, z.atom_id, round(z.score, 12) AS score, (coalesce(a.access_count, 0) + coalesce(d.delta, 0) + 1)::BIGINT AS access_count FROM z JOIN q USING (query_id) JOIN a0 a ON a.id = z.atom_id LEFT JOIN d ON d.atom_id = z.atom_id WHERE z.position <= q.top_k",
     "access_bumps": recall_sql.RANKED + " SELECT z.atom_id, count(*) AS delta FROM z JOIN q USING (query_id) WHERE z.position <= q.top_k GROUP BY z.atom_id",
     "payload_dedup": "SELECT query_id, atom_id FROM (SELECT DISTINCT query_id, atom_id FROM recall_candidates) c JOIN atoms a ON a.id = c.atom_id QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(payload, 'None') ORDER BY created_at DESC, atom_id) = 1",
-    "superseded_flags": "WITH t AS (SELECT id, created_at, unnest(triples) AS t FROM atoms), o AS (SELECT id, first_value(id) OVER (PARTITION BY lower(t.subj), lower(t.pred) ORDER BY created_at DESC, id DESC) AS owner FROM t WHERE t.subj IS NOT NULL AND t.pred IS NOT NULL) SELECT DISTINCT id AS atom_id FROM o WHERE owner <> id",
-    "active_state": "WITH t AS (SELECT id, created_at, unnest(triples) AS t FROM atoms) SELECT lower(t.subj) AS subj, lower(t.pred) AS pred, coalesce(t.obj, '') AS obj, id AS atom_id FROM t WHERE t.subj IS NOT NULL AND t.pred IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(t.subj), lower(t.pred) ORDER BY created_at DESC, id DESC, coalesce(t.obj, '') DESC) = 1",
+    "superseded_flags": f"WITH {recall_sql.ATOMS}, t AS (SELECT id, created_at, unnest(triples) AS t FROM a0), o AS (SELECT id, first_value(id) OVER (PARTITION BY lower(t.subj), lower(t.pred) ORDER BY created_at DESC, id DESC) AS owner FROM t WHERE t.subj IS NOT NULL AND t.pred IS NOT NULL) SELECT DISTINCT id AS atom_id FROM o WHERE owner <> id",
+    "active_state": f"WITH {recall_sql.ATOMS}, t AS (SELECT id, created_at, unnest(triples) AS t FROM a0) SELECT lower(t.subj) AS subj, lower(t.pred) AS pred, coalesce(t.obj, '') AS obj, id AS atom_id FROM t WHERE t.subj IS NOT NULL AND t.pred IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(t.subj), lower(t.pred) ORDER BY created_at DESC, id DESC, coalesce(t.obj, '') DESC) = 1",
     "clean_text": f"SELECT query_id, {_CLEAN} AS clean FROM recall_queries",
     "tokenize": f"SELECT DISTINCT query_id, word FROM (SELECT query_id, unnest(regexp_split_to_array(trim({_CLEAN}), '\\s+')) AS word FROM recall_queries WHERE query_text IS NOT NULL) WHERE length(word) > 2",
     "extract_entities_exact": _EXACT,
@@ -471,8 +478,8 @@ _SQL |= {
     "extract_entities": f"SELECT * FROM ({_EXACT}) UNION SELECT * FROM ({_PREDS})",
     "capitalized_entities": "SELECT DISTINCT query_id, regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g') AS word FROM (SELECT query_id, unnest(regexp_split_to_array(query_text, '\\s+')) AS w FROM recall_queries) WHERE regexp_matches(w, '^[A-Z]')",
     "rule_triples": f"WITH d AS (SELECT id, lower({_DECODED}) AS x FROM atoms) SELECT id, 'room' AS subj, 'is' AS pred, 'booked' AS obj FROM d WHERE contains(x, 'booked') UNION ALL SELECT id, 'status', 'is', 'open' FROM d WHERE contains(x, 'status') AND contains(x, 'open') UNION ALL SELECT id, 'user', 'has', 'preference' FROM d WHERE contains(x, 'user') AND contains(x, 'prefers') UNION ALL SELECT id, 'goods', 'sent_by', 'courier' FROM d WHERE contains(x, 'moved') AND contains(x, 'by courier')",
-    "epoch_catalog": "SELECT epoch_id, count(*) AS atoms, min(epoch_us(created_at)) AS first_us, max(epoch_us(created_at)) AS last_us FROM atoms GROUP BY epoch_id",
-    "epoch_scan": "SELECT id, payload, len(triples) AS n_triples FROM atoms WHERE epoch_id = 'active'",
+    "epoch_catalog": f"WITH {recall_sql.ATOMS} SELECT epoch_id, count(*) AS atoms, min(epoch_us(created_at)) AS first_us, max(epoch_us(created_at)) AS last_us FROM a0 GROUP BY epoch_id",
+    "epoch_scan": f"WITH {recall_sql.ATOMS} SELECT id, payload, len(triples) AS n_triples FROM a0 WHERE epoch_id = 'active'",
     "point_lookup": "SELECT id, epoch_id FROM atoms WHERE id IN (SELECT atom_id FROM access_deltas)",
     "epoch_assign": "SELECT id, floor(epoch_us(created_at) / 3600000000)::BIGINT AS epoch_no, (SELECT max(epoch_us(created_at)) FROM atoms) - epoch_us(created_at) > 3600000000 AS expired FROM atoms",
     "idempotent_upsert": "SELECT id, epoch_id FROM atoms UNION SELECT id, epoch_id FROM pinned_atoms",

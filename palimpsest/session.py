@@ -22,6 +22,7 @@ def build_session(app: str = "palimpsest", cpus: int | str = "*", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -44,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files, so that lost executors lose nothing."""
+    """Write ``df`` to the shared checkpoint folder and continue from the files, so that lost executors lose nothing.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when nothing refers to them any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

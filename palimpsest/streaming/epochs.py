@@ -16,6 +16,10 @@ from palimpsest.sources.epoch_files import read_epochs
 from palimpsest.sources.tables import table
 
 
+#: The files of the test table are in no order of time, so a row may be as late as the table is long.
+UNORDERED = "400 days"
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, below the checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -67,16 +71,24 @@ def _settled(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str])
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
-def windowed_available(spark: SparkSession, root: str, late: str = "400 days") -> DataFrame:
-    """``day_us, event_type, events, value``: tumbling one-day windows with a watermark."""
-    events = stream_of(spark, root, "events", table(spark, root, "events").schema)
-    counted = (
+def windowed(events: DataFrame, late: str, length: str = "1 day") -> DataFrame:
+    """``day_us, event_type, events, value``: tumbling event-time windows of a stream.
+
+    Rows more than ``late`` behind the newest row of earlier batches are dropped;
+    a window's state is freed once no row can come for it any more.
+    """
+    return (
         events.withColumn("ts", F.timestamp_micros(wall_micros("ts"))).withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+        .groupBy(F.window("ts", length).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"))
         .select(F.unix_micros("w.start").alias("day_us"), "event_type", "events", "value")
     )
-    return _settled(spark, counted, "update", ["day_us", "event_type"])
+
+
+def windowed_available(spark: SparkSession, root: str, late: str = UNORDERED) -> DataFrame:
+    """:func:`windowed` over everything that the ``events`` table holds now."""
+    events = stream_of(spark, root, "events", table(spark, root, "events").schema)
+    return _settled(spark, windowed(events, late), "update", ["day_us", "event_type"])
 
 
 def latest_available(spark: SparkSession, root: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import asyncio
 import json
 import os
+import socket
 
 import pytest
 
 from palimpsest.checkpointer import AgentCheckpointer
 from palimpsest.embedding import hashed
 from palimpsest.sources import epoch_files
+from palimpsest.sources.folder import Folder
 from palimpsest.store import MemoryStore, WriterLock
 
 
@@ -46,18 +48,83 @@ def test_lost_additions_are_recovered(spark, tmp_path):
         assert [r["id"] for r in again.atoms().collect()] == ["lost"]
 
 
-def test_lock(tmp_path):
-    lock = WriterLock(tmp_path / "l")
+def test_lock(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}")
+    lock = WriterLock(folder, "l")
     lock.acquire()
     with pytest.raises(RuntimeError):
-        WriterLock(tmp_path / "l").acquire()
+        WriterLock(folder, "l").acquire()
     lock.release()
-    (tmp_path / "l").write_text("999999999")
-    other = WriterLock(tmp_path / "l")
-    other.acquire()
-    assert (tmp_path / "l").read_text() == str(os.getpid())
-    other.release()
-    assert not (tmp_path / "l").exists()
+    for left in (f"{socket.gethostname()}:999999999", "broken", ""):
+        (tmp_path / "l").write_text(left)
+        (tmp_path / ".l.crc").unlink(missing_ok=True)
+        other = WriterLock(folder, "l")
+        other.acquire()
+        assert (tmp_path / "l").read_text() == f"{socket.gethostname()}:{os.getpid()}"
+        other.release()
+        assert not (tmp_path / "l").exists()
+    (tmp_path / "l").write_text("another-host:1")
+    (tmp_path / ".l.crc").unlink(missing_ok=True)
+    with pytest.raises(RuntimeError):
+        WriterLock(folder, "l").acquire()
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    with MemoryStore(spark, root, dim=4) as db:
+        kept = db.add_memory("kept", unit(0))
+        real = epoch_files.write_epochs
+        monkeypatch.setattr(epoch_files, "write_epochs", lambda *a, **k: (_ for _ in ()).throw(OSError("disk full")))
+        with pytest.raises(OSError):
+            db.add_memory("lost", unit(1), [("a", "b", "c")])
+        monkeypatch.setattr(epoch_files, "write_epochs", real)
+        ops = [r["op"] for r in epoch_files.read_wal(spark, db._path("wal")).orderBy("lsn").collect()]
+        assert ops == ["ADD", "COMMIT", "ADD", "ROLLBACK"]
+    with MemoryStore(spark, root, dim=4) as again:
+        assert [r["id"] for r in again.atoms().collect()] == [kept] and again.index().count() == 0
+
+
+def test_stored_indexes(spark, tmp_path):
+    with MemoryStore(spark, str(tmp_path / "s"), dim=4, embed=lambda ts: [unit(len(t) % 4) for t in ts]) as db:
+        one, two = db.remember_batch(["a", "bb"], [[("Ann", "knows", "Bob")], None])
+        epoch = db.force_checkpoint()
+        three = db.add_memory("ccc", unit(3), [("Bob", "knows", "Cy")])
+        assert {(r["entity"], r["atom_id"], r["epoch_id"]) for r in db.index().collect()} == {(e, one, epoch) for e in ("Ann", "knows", "Bob")} | {(e, three, "active") for e in ("Bob", "knows", "Cy")}
+        before = {tuple(r) for r in db.index().collect()}
+        db.rebuild_index()
+        assert {tuple(r) for r in db.index().collect()} == before
+        db.build_vector_index()
+        asked = spark.createDataFrame([("q", unit(1), 5)], "query_id string, query_emb array<float>, pool int")
+        assert {r["atom_id"] for r in db.nearest(asked).collect()} >= {one, three}
+        scan = epoch_files.read_epoch(spark, db._path("atoms"), epoch)
+        assert scan.count() == 2 and "PartitionFilters: [isnotnull(epoch_id" in scan._jdf.queryExecution().toString()
+
+
+def test_an_index_that_was_not_written_is_recovered(spark, tmp_path):
+    db = MemoryStore(spark, str(tmp_path / "s"), dim=4)
+    db.add_memory("x", unit(0), [("s", "p", "o")])
+    db.folder.remove("index")
+    db.close()
+    with MemoryStore(spark, str(tmp_path / "s"), dim=4) as again:
+        assert again.folder.exists("index") and again.index().count() == 3 and again.atoms().count() == 1
+
+
+def test_json_checkpoints_that_are_broken_are_set_apart(spark, tmp_path):
+    from palimpsest.sources import checkpoints
+
+    (tmp_path / "good.json").write_text(json.dumps({"checkpoint": {"type": "json", "data": "eyJhIjogMX0="}, "metadata": "m"}))
+    (tmp_path / "bad.json").write_text("{broken")
+    rows = checkpoints.read_json_checkpoints(spark, str(tmp_path)).collect()
+    assert sorted((r["_corrupt_record"] or "", bytes(r["checkpoint"]["data"]) if r["checkpoint"] else None) for r in rows) == [("", b'{"a": 1}'), ("{broken", None)]
+
+
+def test_embedding_as_a_column(spark):
+    from palimpsest.embedding import hashed_column
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("b a",), ("",), (None,)], "t string")
+    got = [r["v"] for r in df.select(hashed_column(F.col("t"), 8).alias("v")).collect()]
+    assert got == hashed(["b a", "", None], 8).tolist()
 
 
 def test_remember_and_recall_text(spark, tmp_path):
