@@ -181,8 +181,9 @@ def similar_sets(rows: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFr
     different sets is not expanded in one task: the pairs come from an equi-join
     that adaptive execution splits.
     """
-    distinct = cut(_sets(rows).groupBy("word_set").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()))
-    members = cut(_sets(rows).select("rec", "grp", "word_set").join(distinct.select("word_set", "node"), "word_set").select("rec", "grp", "node"))
+    sets = cut(_sets(rows))  # texts are read into words once
+    distinct = cut(sets.groupBy("word_set").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()))
+    members = cut(sets.select("rec", "grp", "word_set").join(distinct.select("word_set", "node"), "word_set").select("rec", "grp", "node"))
     spread = rows.sparkSession.sparkContext.broadcast(_spread(distinct))
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
