@@ -145,6 +145,18 @@ n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_shared FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id),
 g AS (SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE n_shared >= 0.70 * (x.n + y.n - n_shared))"""
 
+# groups of similar word sets: the least id of every set stands for it, and is spread along the links
+_P6_CLASSES = _P1_CANON.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + r""",
+d AS (SELECT id, CASE WHEN kind = 'OBJECT' THEN payload ->> '$.content' WHEN kind = 'VARCHAR' THEN payload ->> '$' ELSE payload END AS txt FROM t),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) AS word FROM d),
+s AS (SELECT id, list_sort(list(word)) AS ws FROM w GROUP BY id),
+nd AS (SELECT ws, min(id) AS lab FROM s GROUP BY ws),
+nw AS (SELECT lab, len(ws) AS n, unnest(ws) AS word FROM nd),
+lk AS (SELECT a.lab AS a, b.lab AS b FROM nw a JOIN nw b ON a.word = b.word AND a.lab <> b.lab GROUP BY a.lab, b.lab, a.n, b.n HAVING count(*) >= 0.70 * (a.n + b.n - count(*))),
+cc AS (SELECT lab AS x, lab AS y FROM nd UNION SELECT cc.x, lk.b FROM cc JOIN lk ON lk.a = cc.y),
+ci AS (SELECT x, min(y) AS class_id FROM cc GROUP BY x),
+dg AS (SELECT a, count(*) AS n_links FROM lk GROUP BY a)"""
+
 _COSINE = "CASE WHEN len(a.embedding) = len(q.query_emb) AND list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) > 0 THEN list_dot_product(a.embedding::DOUBLE[], q.query_emb::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.query_emb::DOUBLE[], q.query_emb::DOUBLE[])) END"
 
 
@@ -179,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT x, y FROM s WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
             SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k""",
         "p6_found": _P6_PAIRS + " SELECT id_a, id_b FROM g LEFT JOIN r a ON a.id = id_a LEFT JOIN r b ON b.id = id_b WHERE a.canon IS DISTINCT FROM b.canon",
+        "p6_classes": _P6_CLASSES + " SELECT s.id AS rec, ci.class_id, coalesce(dg.n_links, 0) AS n_links FROM s JOIN nd USING (ws) JOIN ci ON ci.x = nd.lab LEFT JOIN dg ON dg.a = nd.lab",
         "p5_found": _P5 + " SELECT query_id, atom_id FROM r WHERE ra <= 5 AND rb <= 5 AND rc <= 5",
         "p5_ranking": _P5 + _P5_WEIGHTS + """
             SELECT query_id, atom_id, access, created, round(likeness, 6) AS likeness, ra AS access_rank, rb AS created_rank, rc AS likeness_rank, round(p, 6) AS projection,
