@@ -40,10 +40,10 @@ def heavy_keys(df: DataFrame, keys: dict[str, Column], share: float) -> DataFram
     The total is a count without columns, so the keys are read once.
     """
     counts = key_counts(df, keys)
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))  # one row
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()  # one number, no join
     return (
         counts.where(F.col("key_value").isNotNull() & (F.col("key_value") != ""))
-        .join(total)
+        .withColumn("total", total)
         .where(F.col("n") >= F.col("total") * F.lit(float(share)))
         .select("key_kind", "key_value", "n", "total")
     )
