@@ -42,3 +42,8 @@ def test_whole_ranking_is_that_of_range_partitions(store, monkeypatch):
 
 def test_asked_columns_only(store):
     assert recall.ranked(*store, columns=["score"]).columns == ["query_id", "atom_id", "score"]
+
+
+def test_positions_alone_are_those_of_the_full_table(store):
+    full = {(r["query_id"], r["atom_id"]): (r["position"], r["score"]) for r in recall.ranked(*store).collect()}
+    assert {(r["query_id"], r["atom_id"]): (r["position"], r["score"]) for r in recall.ranked(*store, columns=["position", "score"]).collect()} == full
