@@ -47,3 +47,15 @@ def test_asked_columns_only(store):
 def test_positions_alone_are_those_of_the_full_table(store):
     full = {(r["query_id"], r["atom_id"]): (r["position"], r["score"]) for r in recall.ranked(*store).collect()}
     assert {(r["query_id"], r["atom_id"]): (r["position"], r["score"]) for r in recall.ranked(*store, columns=["position", "score"]).collect()} == full
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_hops_leave_the_tasks_as_they_are(store, monkeypatch, held):
+    """Also where vectors are read again for every few queries."""
+    monkeypatch.setattr(whole, "VECTOR_BYTES", held)
+    found = recall.hops(*store)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Join" not in plan
+    got = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(whole, "WORKER_BYTES", -1)
+    assert got == sorted(tuple(r) for r in recall.hops(*store).collect()) and len(got) > 2000
