@@ -23,7 +23,7 @@ from palimpsest.operators.frontier import BOOTSTRAP_COSINE, BOOTSTRAP_HITS, Bloc
 from palimpsest.operators.skew import range_laid, running, running_total
 from palimpsest.operators.vectors import matrix, query_blocks, similarity_matrix, topk_per_epoch
 from palimpsest.schema import ACTIVE_EPOCH
-from palimpsest.session import cut
+from palimpsest.session import broadcast_if_small, cut, shuffle_width
 
 #: Candidates per source for each wanted result.
 OVERFETCH = 10
@@ -64,8 +64,17 @@ def bootstrapped(pool: DataFrame, queries: DataFrame, atom_entities: DataFrame)
 
 
 def seeds(known: DataFrame, index: DataFrame) -> DataFrame:
-    """``query_id, atom_id``: atoms indexed under an entity the query knows."""
-    return kg.lookup(index, known).select("query_id", "atom_id").distinct()
+    """``query_id, atom_id``: atoms indexed under an entity the query knows.
+
+    Of the entities that lead a query to one atom the least yields the pair, so
+    pairs, which number queries times atoms, are not shuffled to be made distinct.
+    """
+    named = known.groupBy("query_id").agg(F.collect_set("entity").alias("_named"))
+    asking = cut(named.select("query_id", "_named", F.explode("_named").alias("entity")))
+    index = kg.pairs(index.join(asking.select("entity").distinct(), "entity", "left_semi"))
+    under = index.repartition(4 * shuffle_width(index.sparkSession), "atom_id").groupBy("atom_id").agg(F.collect_set("entity").alias("_under"))
+    pairs = under.select("atom_id", "_under", F.explode("_under").alias("entity")).join(broadcast_if_small(asking), "entity")
+    return pairs.where(F.col("entity") == F.array_min(F.array_intersect("_named", "_under"))).select("query_id", "atom_id")
 
 
 def expansions(atoms: DataFrame, index: DataFrame, queries: DataFrame, max_hops: int | None = None) -> Iterator[Expansion]:

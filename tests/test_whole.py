@@ -59,3 +59,12 @@ def test_hops_leave_the_tasks_as_they_are(store, monkeypatch, held):
     got = sorted(tuple(r) for r in found.collect())
     monkeypatch.setattr(whole, "WORKER_BYTES", -1)
     assert got == sorted(tuple(r) for r in recall.hops(*store).collect()) and len(got) > 2000
+
+
+def test_seeds_are_distinct_without_a_shuffle_of_pairs(store, spark):
+    index = store[1].unionByName(store[1])
+    known = spark.createDataFrame([("q1", "hub"), ("q1", "E1"), ("q2", "E1"), ("q2", "likes"), ("q2", "E1"), ("q3", "nobody"), ("q3", ""), (None, "E2")], "query_id string, entity string")
+    found = recall.seeds(known, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange"), "nothing is shuffled after the join"
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, kg.lookup(index, known).select("query_id", "atom_id").distinct().collect()), key=str)
