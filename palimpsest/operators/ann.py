@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import vectors
-
+from palimpsest.session import shuffle_width
 
 #: Most vectors the tree is fitted on, most queries its widening is calibrated with.
 FIT_ROWS, CALIBRATION_ROWS = 40_000, 1_024
 #: Children of a tree node, aimed-at rows of a leaf and of a cell, sampled vectors that a leaf keeps at least.
 BRANCH, LEAF_ROWS, CELL_ROWS, LEAF_SAMPLE = 16, 256, 16_384, 12
+#: Most rows of an epoch that a search works off at once; a larger epoch is worked off in pieces, spread over tasks.
+PIECE_ROWS = 1 << 17
 
 
 @dataclass
@@ -220,10 +222,17 @@ def load_tree(spark: SparkSession, path: str) -> tuple[Tree, int, float]:
 def search(spark: SparkSession, path: str, queries: DataFrame, widen: float | None = None) -> DataFrame:
     """``query_id, atom_id, epoch_id, sim, epoch_rank``: as :func:`vectors.topk_per_epoch`, from the leaves that each query visits.
 
-    Queries of another dimension, or without a direction, find nothing.
+    Queries of another dimension, or without a direction, find nothing. An
+    epoch's vectors go to one task, which ranks its hits, so hits, which number
+    queries times epochs, are not shuffled; only epochs of more than
+    :data:`PIECE_ROWS` rows have the hits of their pieces ranked once more.
     """
     tree, dim, stored = load_tree(spark, path)
-    held = spark.read.schema(_INDEX).parquet(f"{path}/vectors")
+    held = spark.read.schema(_INDEX).parquet(f"{path}/vectors").withColumn("epoch_id", F.coalesce("epoch_id", F.lit("")))
+    large = {r["epoch_id"]: -(-r["n"] // PIECE_ROWS) for r in held.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE_ROWS).collect()}  # at most a row for PIECE_ROWS of the index
+    width = shuffle_width(spark)
+    best = Window.partitionBy("query_id", "epoch_id").orderBy(F.col("sim").desc(), "atom_id")
+    shape = "query_id string, atom_id string, epoch_id string, sim double, epoch_rank int, pool int"
     out = None
     for rows in vectors.query_blocks(queries.select("query_id", "query_emb", "pool")):
         for at, q in vectors.by_length(rows):
@@ -236,36 +245,81 @@ def search(spark: SparkSession, path: str, queries: DataFrame, widen: float | No
             kept = spark.sparkContext.broadcast(([rows[i]["query_id"] for i in at], q, np.array([rows[i]["pool"] for i in at]), wants))  # a block of queries
             wanted = spark.createDataFrame([(x,) for x in wants], "leaf int")
             mine = held.where(F.col("leaf").between(min(wants), max(wants))).join(F.broadcast(wanted), "leaf", "left_semi")  # at most as many as the tree has leaves
-            part = mine.select("id", "epoch_id", "leaf", "embedding").mapInArrow(_searched(kept), "query_id string, atom_id string, epoch_id string, sim double, pool int")
+            mine = mine.select("id", "epoch_id", "leaf", "embedding")
+            whole = mine.where(~F.col("epoch_id").isin(list(large))) if large else mine
+            part = whole.withColumn("piece", F.lit(0)).repartition(width, "epoch_id").sortWithinPartitions("epoch_id", "leaf").mapInArrow(_searched(kept), shape).drop("pool")
+            if large:
+                pieces = F.create_map(*[F.lit(x) for e in large.items() for x in e])[F.col("epoch_id")]
+                split = mine.where(F.col("epoch_id").isin(list(large))).withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int"))
+                again = split.repartition(width, "epoch_id", "piece").sortWithinPartitions("epoch_id", "piece", "leaf").mapInArrow(_searched(kept), shape)
+                part = part.unionByName(again.withColumn("epoch_rank", F.row_number().over(best)).where(F.col("epoch_rank") <= F.col("pool")).drop("pool"))
             out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id string, atom_id string, epoch_id string, sim double, epoch_rank int")
-    best = Window.partitionBy("query_id", "epoch_id").orderBy(F.col("sim").desc(), "atom_id")
-    return out.withColumn("epoch_rank", F.row_number().over(best)).where(F.col("epoch_rank") <= F.col("pool")).drop("pool")
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one epoch and piece at a time; they stand together."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        epoch, piece = b.column(1).dictionary_encode().indices.to_numpy(), b.column(4).to_numpy()
+        edges = np.flatnonzero((np.diff(epoch) != 0) | (np.diff(piece) != 0)) + 1
+        for lo, hi in zip(np.r_[0, edges], np.r_[edges, b.num_rows]):
+            part = b.slice(lo, hi - lo)
+            if kept and (kept[-1].column(1)[0].as_py(), kept[-1].column(4)[0].as_py()) != (part.column(1)[0].as_py(), part.column(4)[0].as_py()):
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(part)
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def _searched(kept):
+    """Arrow function over rows in order of epoch, piece and leaf: each query's best of an epoch's piece, ranked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, mat, most, wants = kept.value
-        named = np.array(names, dtype=object)
-        for b in batches:
-            ids, epochs = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            leaf = np.asarray(b.column(2))
-            at, x = vectors.matrix(b.column(3), mat.shape[1])
-            q, r, s = [], [], []
-            for one in np.unique(leaf[at]):
-                who = wants.get(int(one))
-                if who is None:
-                    continue
-                cols = np.flatnonzero(leaf[at] == one)
-                sims = vectors.similarity_matrix(mat[who], x[cols])
-                q.append(np.repeat(who, len(cols))), r.append(np.tile(at[cols], len(who))), s.append(sims.ravel())
-            if not q:
+        named = pa.array(names, pa.string())
+        step = max(64, vectors.CELLS // len(names))
+        deepest = int(most.max())
+        for t in _runs(batches):
+            ids, epoch = t.column(0).combine_chunks(), t.column(1)[0].as_py()
+            leaf = t.column(2).to_numpy()
+            at, x = vectors.matrix(t.column(3).combine_chunks(), mat.shape[1])
+            by_id = np.empty(len(ids), np.int64)
+            by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            found = []
+            for lo in range(0, len(at), step):
+                rows, own = at[lo : lo + step], x[lo : lo + step]
+                sims = np.full((len(names), len(rows)), -np.inf)
+                edges = np.flatnonzero(np.diff(leaf[rows])) + 1
+                for a, b in zip(np.r_[0, edges], np.r_[edges, len(rows)]):
+                    who = wants.get(int(leaf[rows[a]]))
+                    if who is not None:
+                        sims[who, a:b] = vectors.similarity_matrix(mat[who], own[a:b])
+                keep = sims > -np.inf
+                if len(rows) > deepest > 0:  # all that tie with the last stay until ids decide
+                    keep &= sims >= np.partition(sims, len(rows) - deepest, axis=1)[:, len(rows) - deepest][:, None]
+                q, c = np.nonzero(keep)
+                top = vectors._leading(q, most[q], sims[q, c], by_id[rows[c]])
+                found.append((q[top], rows[c[top]], sims[q[top], c[top]]))
+            if not found:
                 continue
-            q, r, s = np.concatenate(q), np.concatenate(r), np.concatenate(s)
-            _, e = np.unique(epochs[r].astype(str), return_inverse=True)
-            top = vectors._leading(q * (e.max() + 1) + e, most[q], s, ids[r])
-            yield pa.RecordBatch.from_arrays([pa.array(named[q[top]], pa.string()), pa.array(ids[r[top]], pa.string()), pa.array(epochs[r[top]], pa.string()), pa.array(s[top]), pa.array(most[q[top]].astype(np.int32))], names=["query_id", "atom_id", "epoch_id", "sim", "pool"])
+            q, r, s = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((by_id[r], -s, q))
+            q, r, s = q[order], r[order], s[order]
+            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) + 1
+            top = np.flatnonzero(rank <= most[q])
+            for lo in range(0, len(top), 1 << 16):
+                i = top[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [named.take(pa.array(q[i])), ids.take(pa.array(r[i])), pa.repeat(pa.scalar(epoch, pa.string()), len(i)), pa.array(s[i]), pa.array(rank[i].astype(np.int32)), pa.array(most[q[i]].astype(np.int32))],
+                    names=["query_id", "atom_id", "epoch_id", "sim", "epoch_rank", "pool"],
+                )
 
     return run
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import kg, recall, whole
+from palimpsest.operators import ann, kg, recall, vectors, whole
 
 SHAPE = "query_id string, query_emb array<float>, top_k int, expand_hops int, query_entities array<string>"
 
@@ -68,3 +68,16 @@ def test_seeds_are_distinct_without_a_shuffle_of_pairs(store, spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Exchange"), "nothing is shuffled after the join"
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, kg.lookup(index, known).select("query_id", "atom_id").distinct().collect()), key=str)
+
+
+@pytest.mark.parametrize("most", [1 << 17, 10])
+def test_hits_of_an_epoch_are_ranked_where_it_is_read(store, tmp_path, monkeypatch, most):
+    """Also of epochs that are worked off in pieces."""
+    atoms, _, queries = store
+    monkeypatch.setattr(ann, "PIECE_ROWS", most)
+    ann.build_index(atoms, str(tmp_path), 4)
+    found = ann.search(atoms.sparkSession, str(tmp_path), queries, widen=float("inf"))
+    assert ("Window" in found._jdf.queryExecution().executedPlan().toString()) == (most == 10)
+    usable = "size(embedding) = 4 AND exists(embedding, x -> x <> 0 AND NOT isnan(x))"
+    want = vectors.topk_per_epoch(atoms.where(usable), queries.where("size(query_emb) = 4"))
+    assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and found.count() > 300
