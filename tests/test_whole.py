@@ -81,3 +81,26 @@ def test_hits_of_an_epoch_are_ranked_where_it_is_read(store, tmp_path, monkeypat
     usable = "size(embedding) = 4 AND exists(embedding, x -> x <> 0 AND NOT isnan(x))"
     want = vectors.topk_per_epoch(atoms.where(usable), queries.where("size(query_emb) = 4"))
     assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and found.count() > 300
+
+
+def test_laid_out_store_goes_with_the_result(store, spark):
+    import gc
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    root = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    before = {*root.rglob("atoms")}
+    found = recall.ranked(*store, columns=["position", "score"]).where("position > 1")
+    laid = {*root.rglob("atoms")} - before
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    assert len(laid) == 1 and found.count() > 2000, "while the result is referred to, the store stays"
+    del found
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+        if not any(p.exists() for p in laid):
+            break
+    assert not any(p.exists() for p in laid)
