@@ -15,6 +15,7 @@ item words that the chain carries decides.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +34,8 @@ ITEM_BLOCK = 2_000
 RUN_WORDS = 12
 #: Half width of the alignment band, longest piece part aligned at once, pieces that may lie between two of a chain.
 BAND, PART, REACH = 6, 64, 10
-#: Characters an aligned part spans at least to look for its neighbours.
-LEAST_SPAN = 12
+#: Score an aligned part has at least; characters it spans at least to look for its neighbours.
+LEAST_SCORE, LEAST_SPAN = 8, 12
 #: Item characters that may be missing between, or shared by, two chained pieces.
 SLACK = 8
 #: Characters of a part that may stand unmatched before or after what it passes on.
@@ -233,48 +234,69 @@ def document_frequency(docs: DataFrame, text: str, items: Items) -> np.ndarray:
     return df
 
 
-def smith_waterman(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
+def smith_waterman(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, band: int = BAND, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Banded local alignment of many pairs: match 2, mismatch -1, gap -2.
 
     ``a`` is padded to a width L with 0, ``b`` to L + 2 * band with 1; cell (i, d)
     compares ``a[i]`` with ``b[i + d]``. Returns the score, and for every
-    character of ``a`` the column of ``b`` it is matched with (equal), or -1.
+    character of ``a`` the column of ``b`` it is matched with (equal), or -1;
+    pairs of a score under ``least`` are not traced back.
     """
     n, width = a.shape
     w = 2 * band + 1
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    order = np.argsort(a_len, kind="stable")  # of pairs by length, those that still go on are a slice
+    ended = np.searchsorted(a_len[order], np.arange(width), "right").tolist()
+    a, b = (np.ascontiguousarray(x[order].T.astype(np.uint16, copy=False)) for x in (a, b))
     h = np.zeros((width + 1, w + 2, n), np.int16)  # a row of zeros on either side of the band
-    best, best_i, best_d = np.zeros(n, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    best, best_i = np.zeros(n, np.int16), np.zeros(n, np.int64)
+    differ, less = np.empty((w, n), np.uint16), np.empty((w, n), np.int16)
+    one, two, three, none = np.uint16(1), np.int16(2), np.int16(3), np.int16(0)
     for i in range(width):
-        cur = h[i + 1, 1:-1]
-        np.multiply(b[i : i + w] == a[i], np.int16(3), out=cur, casting="unsafe")
-        cur += h[i, 1:-1] - np.int16(1)
-        np.maximum(cur, h[i, 2:] - np.int16(2), out=cur)
-        np.maximum(cur, np.int16(0), out=cur)
-        for d in range(1, w):
-            np.maximum(cur[d], cur[d - 1] - np.int16(2), out=cur[d])
-        cur *= (i < a_len).astype(np.int16)
+        c = ended[i]
+        if c == n:
+            break
+        cur, x, y = h[i + 1, 1:-1, c:], differ[:, c:], less[:, c:]
+        np.bitwise_xor(b[i : i + w, c:], a[i, c:], out=x)
+        np.minimum(x, one, out=x)
+        np.multiply(x.view(np.int16), three, out=y)
+        np.subtract(h[i, 1:-1, c:], y, out=cur)
+        cur += two
+        np.subtract(h[i, 2:, c:], two, out=y)
+        np.maximum(cur, y, out=cur)
+        np.maximum(cur, none, out=cur)
+        k = 1
+        while k < w:  # gaps of up to 1, 3, 7 and so on
+            np.subtract(cur[:-k], np.int16(2 * k), out=y[k:])
+            np.maximum(cur[k:], y[k:], out=cur[k:])
+            k *= 2
         top = cur.max(0)
-        new = np.flatnonzero(top > best)
-        if len(new):
-            best[new], best_i[new], best_d[new] = top[new], i, cur[:, new].argmax(0)
+        np.copyto(best_i[c:], i, where=top > best[c:])
+        np.maximum(best[c:], top, out=best[c:])
     match = np.full((n, width), -1, np.int64)
-    i, d, live = best_i, best_d, np.flatnonzero(best > 0)
+    live = np.flatnonzero(best >= max(1, least))
+    i, d = best_i[live], h[best_i[live] + 1, 1:-1, live].argmax(1)
+    cells, chars, others, out = h.reshape(-1), a.reshape(-1), b.reshape(-1), match.reshape(-1)
+    row = (w + 2) * n
+    at = (i + 1) * row + (d + 1) * n + live
+    here = cells[at]
     while len(live):
-        ii, dd = i[live], d[live]
-        here = h[ii + 1, dd + 1, live]
-        equal = a[ii, live] == b[ii + dd, live]
-        diag = here == h[ii, dd + 1, live] + np.where(equal, 2, -1)
-        up = ~diag & (here == h[ii, dd + 2, live] - 2)
-        hit = live[diag & equal]
-        match[hit, i[hit]] = i[hit] + d[hit]
-        left = live[~diag & ~up]
-        i[live[diag | up]] -= 1
-        d[live[up]] += 1
-        d[left] -= 1
-        live = live[(i[live] >= 0) & (d[live] >= 0) & (d[live] < w)]
-        live = live[h[i[live] + 1, d[live] + 1, live] > 0]
-    return best, match
+        equal = chars[i * n + live] == others[(i + d) * n + live]
+        before = cells[at - row]
+        diag = here == before + np.where(equal, two, np.int16(-1))
+        above = cells[at - row + n]
+        up = ~diag & (here == above - two)
+        hit = np.flatnonzero(diag & equal)
+        out[order[live[hit]] * width + i[hit]] = i[hit] + d[hit]
+        left = ~diag & ~up
+        here = np.where(diag, before, np.where(up, above, cells[at - n]))
+        i = i - ~left
+        d = d + up - left
+        at = at + np.where(diag, -row, np.where(up, n - row, -n))
+        on = np.flatnonzero((here > 0) & (i >= 0) & (d >= 0) & (d < w))
+        live, i, d, at, here = live[on], i[on], d[on], at[on], here[on]
+    score = np.empty_like(best)
+    score[order] = best
+    return score, match
 
 
 class _Parts:
@@ -302,10 +324,10 @@ def _align(it: Items, f: Folded, parts: _Parts, pair: np.ndarray, piece: np.ndar
     bcols = offset[:, None] - BAND + np.arange(width + 2 * BAND)[None, :]
     there = (bcols >= it.start[item][:, None]) & (bcols < it.start[item + 1][:, None])
     b = np.where(there, it.char[np.clip(bcols, 0, len(it.char) - 1)], np.uint16(1))
-    score, match = smith_waterman(a, size, b)
+    score, match = smith_waterman(a, size, b, least=LEAST_SCORE)
     hit = match >= 0
     n = hit.sum(1)
-    good = np.flatnonzero((score >= 8) & (n >= 5))
+    good = np.flatnonzero((score >= LEAST_SCORE) & (n >= 5))
     hit, where = hit[good], np.where(hit[good], match[good] + (offset[good] - BAND)[:, None], -1)
     first, last = hit.argmax(1), width - 1 - hit[:, ::-1].argmax(1)
     rows = np.arange(len(good))
@@ -326,6 +348,9 @@ def _longest_run(it: Items, i: int, rows: np.ndarray, parts: _Parts, f: Folded,
     hi = int(it.start[i + 1])
     rows = rows[np.lexsort((parts.begin[rows], parts.piece[rows]))]
     piece, start, end, count, from_, to = (parts.columns[c][rows].tolist() for c in ("piece", "lo", "hi", "n", "from_edge", "to_edge"))
+    if sum(count) < least:
+        return 0
+    after = [t for t in range(len(rows)) if from_[t]]  # what a chain may go on with
     word = it.word[lo:hi]
     first_word = int(word[0])
     n_words = int(word[-1]) - first_word + 1
@@ -337,15 +362,16 @@ def _longest_run(it: Items, i: int, rows: np.ndarray, parts: _Parts, f: Folded,
             continue
         chain, last = [s], s
         while to[last]:
-            for t in range(last + 1, len(rows)):
-                if piece[t] - piece[last] > REACH:
-                    t = len(rows)
+            most, low, high = piece[last] + REACH, end[last] - SLACK, end[last] + SLACK
+            for t in after[bisect_right(after, last) :]:
+                if piece[t] > most:
+                    t = None
                     break
-                if not used[t] and from_[t] and -SLACK <= start[t] - end[last] <= SLACK and end[t] > end[last]:
+                if low <= start[t] <= high and not used[t] and end[t] > end[last]:
                     break
             else:
-                t = len(rows)
-            if t >= len(rows):
+                t = None
+            if t is None:
                 break
             used[t] = True
             chain.append(t)
@@ -449,17 +475,15 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
     key = key[:, order]
     pair, begin, offset = key[:, np.flatnonzero(np.r_[True, (np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)])]
     parts = _Parts()
-    tried: set[tuple[int, int, int]] = set()
-    have: set[tuple[int, int]] = set()
+    pairs = np.unique(pair)
+    tried = np.empty(0, np.int64), np.empty(0, np.int64)  # places, and the offsets they were aligned at
     result: dict[int, int] = {}
     least = it.least_chars(run_words)
     while len(pair):  # ends: no place is tried twice with one offset
         size = np.minimum(piece_end[piece_of[begin]] - begin, PART)
         order = np.argsort(size, kind="stable")  # parts of like length are padded little
         pair, begin, offset, size = pair[order], begin[order], offset[order], size[order]
-        done = len(parts.where)
         touched = [_align(it, f, parts, pair[lo : lo + 2048], piece_of[begin[lo : lo + 2048]], begin[lo : lo + 2048], size[lo : lo + 2048], offset[lo : lo + 2048]) for lo in range(0, len(pair), 2048)]
-        have.update(zip(parts.pair[done:].tolist(), parts.begin[done:].tolist()))
         rows = np.flatnonzero(np.isin(parts.pair, np.unique(np.concatenate(touched))))
         if not len(rows):
             break
@@ -474,33 +498,34 @@ def leaks_in(it: Items, texts: list[str | None], run_words: int = RUN_WORDS) ->
             result[p] = max(run, result.get(p, 0))
             open_[k] = run < run_words
         on = np.repeat(open_, np.diff(bounds))
-        fresh: dict[tuple[int, int], tuple[int, int]] = {}  # of a place that several parts point to, the nearest part's offset
-
-        def propose(p: int, y: int, offset: int, far: int) -> None:
-            if (p, y) not in have and (p, y, offset) not in tried and fresh.get((p, y), (REACH + 1, 0))[0] > far:
-                fresh[p, y] = far, offset
-
-        for x in np.flatnonzero(on & (r.ahead | r.behind)):
-            row = rows[x]
-            p, piece, b, lo, hi = (int(parts.columns[c][row]) for c in ("pair", "piece", "begin", "lo", "hi"))
-            page = p // len(it.ids)
-            if r.ahead[x] and b + PART < piece_end[piece]:
-                propose(p, b + PART, hi, 0)
-            elif r.ahead[x]:
-                for q in range(piece + 1, min(piece + REACH + 1, len(piece_start))):
-                    if piece_page[q] != page:
-                        break
-                    propose(p, int(piece_start[q]), hi, q - piece)
-            if r.behind[x]:
-                for q in range(piece - 1, max(piece - REACH - 1, -1), -1):
-                    y, n = int(piece_start[q]), int(piece_end[q] - piece_start[q])
-                    if piece_page[q] != page:
-                        break
-                    if n <= PART:
-                        propose(p, y, lo - n, piece - q)
-        new = [(p, y, offset) for (p, y), (_, offset) in fresh.items()]
-        tried.update(new)
-        pair, begin, offset = (np.array(x, np.int64) for x in zip(*new)) if new else (np.empty(0, np.int64),) * 3
+        x = rows[on & (r.ahead | r.behind)]
+        ahead, behind = r.ahead[on & (r.ahead | r.behind)], r.behind[on & (r.ahead | r.behind)]
+        p, q0, b, lo, hi = (parts.columns[c][x] for c in ("pair", "piece", "begin", "lo", "hi"))
+        more = ahead & (b + PART < piece_end[q0])
+        steps = np.r_[np.arange(1, REACH + 1), -np.arange(1, REACH + 1)]
+        q = q0[:, None] + steps
+        there = (q >= 0) & (q < len(piece_start)) & np.where(steps > 0, (ahead & ~more)[:, None], behind[:, None])
+        q = np.where(there, q, 0)
+        n = piece_end[q] - piece_start[q]
+        there &= (piece_page[q] == (p // len(it.ids))[:, None]) & ((steps > 0) | (n <= PART))
+        k, j = np.nonzero(there)
+        p, y, offset, far = (
+            np.r_[u, v] for u, v in ((p[more], p[k]), (b[more] + PART, piece_start[q[k, j]]), (hi[more], np.where(j < REACH, hi[k], lo[k] - n[k, j])), (0 * b[more], np.abs(steps[j])))
+        )
+        first = np.argsort(np.r_[np.flatnonzero(more), k], kind="stable")  # part by part
+        p, y, offset, far = p[first], y[first], offset[first], far[first]
+        place = np.searchsorted(pairs, p) * np.int64(len(f.char) + 1) + y
+        fresh = ~np.isin(place, np.searchsorted(pairs, parts.pair) * np.int64(len(f.char) + 1) + parts.begin)
+        if len(tried[0]):
+            _, code = np.unique(np.r_[tried[0], place], return_inverse=True)
+            code = code * np.int64(len(it.char) + 4 * PART) + np.r_[tried[1], offset] + 2 * PART
+            fresh &= ~np.isin(code[len(tried[0]) :], code[: len(tried[0])])
+        fresh = np.flatnonzero(fresh)
+        # of a place that several parts point to, the nearest part's offset
+        fresh = fresh[np.lexsort((far[fresh], place[fresh]))]
+        fresh = fresh[np.r_[True, np.diff(place[fresh]) != 0]] if len(fresh) else fresh
+        tried = np.r_[tried[0], place[fresh]], np.r_[tried[1], offset[fresh]]
+        pair, begin, offset = p[fresh], y[fresh], offset[fresh]
     return [(p // len(it.ids), p % len(it.ids), run) for p, run in result.items() if run >= run_words]
 
 

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import sys
 import unicodedata
 
 import numpy as np
@@ -344,6 +345,44 @@ def test_smith_waterman_aligns_with_gaps():
     assert score[0] == 16 and (match[0] >= 0).all() and (np.diff(match[0]) > 0).all()
 
 
+def test_pairs_under_the_least_score_are_not_traced_back():
+    rng = np.random.default_rng(7)
+    size = rng.integers(1, 31, 200)
+    a = np.where(np.arange(30) < size[:, None], rng.integers(3, 9, (200, 30)), 0).astype(np.uint16)
+    b = rng.integers(3, 9, (200, 30 + 2 * leakage.BAND)).astype(np.uint16)
+    score, match = leakage.smith_waterman(a, size, b)
+    score_8, match_8 = leakage.smith_waterman(a, size, b, least=8)
+    assert (score == score_8).all() and 20 < (score < 8).sum() < 180
+    assert (match_8[score < 8] == -1).all() and (match_8[score >= 8] == match[score >= 8]).all()
+    one = [leakage.smith_waterman(a[i : i + 1], size[i : i + 1], b[i : i + 1]) for i in range(200)]
+    assert (np.concatenate([s for s, _ in one]) == score).all() and (np.concatenate([m for _, m in one]) == match).all(), "whatever the lengths beside it"
+
+
+def test_places_next_to_a_part_are_proposed_at_once():
+    """Not one by one: parts point to up to 20 pieces each."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(7)) for _ in range(40)]
+    it = leakage.Items([0], [" ".join(words)])
+    it.choose(np.ones(len(it.keys), np.int64))
+    other = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(12))
+    lines = lambda at: "\n".join(x for i in range(at, at + 8, 2) for x in [*(other() for _ in range(12)), " ".join(words[i : i + 2])])
+    pages = [lines(i % 32) for i in range(60)]
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[-1] += event == "call"
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        assert not leakage.leaks_in(it, pages)
+        calls.append(0)
+        assert not leakage.leaks_in(it, pages * 5)
+    finally:
+        sys.setprofile(before)
+    assert calls[1] < 1.5 * calls[0]
+
+
 # ---- languages
 
 VOCABULARY = {
